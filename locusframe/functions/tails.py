@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _MAX_TERMS = 300
 _TINY = 1e-300
@@ -59,13 +60,13 @@ def normal_p(z: np.ndarray) -> np.ndarray:
     return np.fromiter((math.erfc(v / math.sqrt(2.0)) for v in z), float, len(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     p = student_p(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
     return pd.Series(p).where(~np.isnan(p), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal(z: pd.Series) -> pd.Series:
     p = normal_p(z.to_numpy(float, na_value=np.nan))
     return pd.Series(p).where(~np.isnan(p), None).astype("Float64")

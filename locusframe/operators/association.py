@@ -576,7 +576,10 @@ def tile_sums(
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
     )
     parts = left.groupBy("tile", "_group").cogroup(right.groupBy("tile", "_group")).applyInPandas(multiply, schema)
-    return parts.groupBy("variant_id").agg(*[F.sum(c).alias(c) for c in ["_called", "_cells", *sums]])
+    return (
+        parts.groupBy("variant_id").agg(*[F.sum(c).alias(c) for c in ["_called", "_cells", *sums]])
+        .withColumn("variant_id", F.col("variant_id").cast(tiles.schema["variant_id"].dataType))
+    )
 
 
 def gwas_tiles(

@@ -1 +1,234 @@
-"""Queries."""
+"""Interpretation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from locusframe.operators import interpret as i
+from locusframe.operators import network as n
+from locusframe.operators.cohort import top_hits
+from locusframe.plans.networks import Z0, rounded, small_network
+from locusframe.plans.registry import query, r6, sql6
+from locusframe.plans.views import Views
+
+PATHS = """
+    cw AS (SELECT t.*, w0.w AS weights_0, w1.w AS weights_1, w2.w AS weights_2, w0.w * w1.w * w2.w AS raw FROM topology t
+           JOIN weights w0 ON w0.layer = 0 AND w0.src = layer0_node AND w0.dst = layer1_node
+           JOIN weights w1 ON w1.layer = 1 AND w1.src = layer1_node AND w1.dst = layer2_node
+           JOIN weights w2 ON w2.layer = 2 AND w2.src = layer2_node)"""
+WITH_CHR = PATHS.replace("SELECT t.*", "SELECT layer0_node % 22 + 1 AS chr, t.*")
+
+
+def paths(v: Views) -> DataFrame:
+    return i.connection_weights(v.topology, v.weights)
+
+
+def paths_with_chr(v: Views) -> DataFrame:
+    return i.connection_weights(v.topology.withColumn("chr", F.col("layer0_node") % 22 + 1), v.weights)
+
+
+@query("topology weights", f"""WITH {PATHS}
+    SELECT layer0_node, layer0_name, layer1_node, layer1_name, layer2_node, layer2_name, weights_0, weights_1, weights_2, {sql6('raw')} AS raw_importance FROM cw""")
+def connection_weights(v: Views) -> DataFrame:
+    return rounded(paths(v), "raw_importance")
+
+
+@query("topology weights", f"""
+    WITH p AS (SELECT w0.src AS input, f0, f1, (w0.w + f0 * 0.5e0) * (w1.w - f1 * 0.25e0) * w2.w AS v
+               FROM weights w0 JOIN weights w1 ON w0.layer = 0 AND w1.layer = 1 AND w0.dst = w1.src
+               JOIN weights w2 ON w2.layer = 2 AND w1.dst = w2.src, (SELECT unnest([0, 1]) AS f0), (SELECT unnest([0, 1]) AS f1)),
+    t AS (SELECT input, f0 * 2 + f1 AS filter, v FROM p), s AS (SELECT filter, sum(abs(v)) AS total FROM t GROUP BY filter)
+    SELECT input, filter, {sql6('v')} AS importance, {sql6('100 * abs(v) / total')} AS percentage FROM t JOIN s USING (filter)""")
+def input_importance(v: Views) -> DataFrame:
+    copies = F.explode(F.when(F.col("layer") < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("filter")
+    shift = F.when(F.col("layer") == 0, F.col("filter") * 0.5).otherwise(F.col("filter") * -0.25)
+    weights = v.weights.select("*", copies).withColumn("w", F.col("w") + shift)
+    return rounded(i.input_importance(weights), "importance", "percentage")
+
+
+@query("topology weights", f"""WITH {PATHS}, t AS (SELECT sum(abs(raw)) AS total FROM cw),
+    s AS (SELECT 0 AS level, layer0_name AS name, abs(raw) AS a FROM cw UNION ALL SELECT 1, layer1_name, abs(raw) FROM cw
+          UNION ALL SELECT 2, layer2_name, abs(raw) FROM cw)
+    SELECT level, name, {sql6('100 * sum(a) / max(total)')} AS share FROM s, t GROUP BY level, name HAVING 100 * sum(a) / max(total) > 0.01e0""")
+def importance_rollup(v: Views) -> DataFrame:
+    return rounded(i.importance_rollup(paths(v), [0, 1, 2]), "share")
+
+
+@query("topology weights", f"""WITH {WITH_CHR},
+    e AS (SELECT DISTINCT chr, layer0_node, layer0_name, layer1_node, layer1_name, weights_0 AS w FROM cw)
+    SELECT chr, layer0_node, layer0_name, layer1_node, layer1_name, w, row_number() OVER (ORDER BY chr, layer0_node, layer1_node) - 1 AS pos,
+           {sql6('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
+def layer_weight_table(v: Views) -> DataFrame:
+    return rounded(i.layer_weight_table(paths_with_chr(v), 0), "plot_weight")
+
+
+@query("topology weights", f"""WITH {PATHS}, e AS (SELECT DISTINCT layer2_node, layer2_name, weights_2 AS w FROM cw)
+    SELECT layer2_node, layer2_name, w, CAST(0 AS BIGINT) AS layer3_node, 'end_node' AS layer3_name,
+           row_number() OVER (ORDER BY layer2_node) - 1 AS pos, {sql6('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
+def last_layer_weight_table(v: Views) -> DataFrame:
+    return rounded(i.layer_weight_table(paths(v), 2), "plot_weight")
+
+
+@query("topology weights", f"""WITH {WITH_CHR}
+    SELECT chr, layer0_node, layer1_node, layer2_node, layer0_name, layer1_name, layer2_name, {sql6('raw')} AS raw_importance,
+           row_number() OVER (ORDER BY chr, layer0_node, layer1_node, layer2_node) - 1 AS pos, {sql6('abs(raw) / max(abs(raw)) OVER ()')} AS relative FROM cw""")
+def manhattan_table(v: Views) -> DataFrame:
+    return rounded(i.manhattan_table(paths_with_chr(v)), "raw_importance", "relative")
+
+
+@query("topology weights", f"""WITH {WITH_CHR},
+    p AS (SELECT chr, row_number() OVER (ORDER BY chr, layer0_node, layer1_node, layer2_node) - 1 AS pos FROM cw),
+    e AS (SELECT chr, max(pos) + 1 AS "end" FROM p GROUP BY chr)
+    SELECT chr, start, "end", {sql6('(start + "end") / 2')} AS middle
+    FROM (SELECT chr, "end", coalesce(lag("end") OVER (ORDER BY "end"), 0) AS start FROM e)""")
+def chromosome_bounds(v: Views) -> DataFrame:
+    return rounded(i.group_bounds(i.manhattan_table(paths_with_chr(v))), "middle")
+
+
+@query("topology weights", f"""WITH {PATHS}
+    SELECT layer0_name, {sql6('abs(raw)')} AS importance FROM cw ORDER BY abs(raw) DESC, layer0_name LIMIT 10""")
+def strongest_paths(v: Views) -> DataFrame:
+    table = paths(v).withColumn("importance", F.abs("raw_importance"))
+    return rounded(top_hits(table, 10, "importance", "layer0_name").select("layer0_name", "importance"), "importance")
+
+
+DOWN = """
+    down AS (SELECT w1.src AS node, sum(abs(w1.w) * abs(w2.w)) AS down FROM weights w1 JOIN weights w2 ON w1.layer = 1 AND w2.layer = 2
+             AND w1.dst = w2.src GROUP BY w1.src),
+    ranked AS (SELECT dst AS gene, src, abs(w) AS size, row_number() OVER (PARTITION BY dst ORDER BY abs(w) DESC, src) AS rank,
+                      down FROM weights JOIN down ON layer = 0 AND node = dst)"""
+
+
+@query("weights", f"WITH {DOWN} SELECT node, {sql6('down')} AS down FROM down")
+def downstream_weight(v: Views) -> DataFrame:
+    return rounded(i.downstream_weight(v.weights, 0), "down")
+
+
+@query("weights", f"WITH {DOWN} SELECT gene, src, rank, {sql6('size * down')} AS strength, rank - 1 AS partners FROM ranked")
+def interaction_profile(v: Views) -> DataFrame:
+    """Every pair of every gene, one row per input for all pairs it decides."""
+    return rounded(i.interaction_profile(v.w0, i.downstream_weight(v.weights, 0)), "strength")
+
+
+@query("weights", f"""WITH {DOWN}, fan AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM ranked GROUP BY gene))
+    SELECT gene, src, rank, {sql6('size * down')} AS strength, rank - 1 AS partners FROM ranked, fan WHERE rank <= n""")
+def interaction_profile_common_size(v: Views) -> DataFrame:
+    """The same over as many inputs per gene as the smallest gene has."""
+    found = i.interaction_profile(v.w0, i.downstream_weight(v.weights, 0), n=i.smallest_fan_in(v.w0))
+    return rounded(found, "strength")
+
+
+@query("weights", f"""WITH {DOWN}
+    SELECT b.gene, a.src AS src_a, b.src AS src_b, {sql6('b.size * b.down')} AS strength FROM ranked a JOIN ranked b ON a.gene = b.gene AND a.rank < b.rank
+    ORDER BY b.size * b.down DESC, b.gene, b.rank, a.rank LIMIT 100""")
+def strongest_interactions(v: Views) -> DataFrame:
+    return rounded(i.top_interactions(v.w0, i.downstream_weight(v.weights, 0), k=100), "strength")
+
+
+def pair_ranking(v: Views) -> DataFrame:
+    """Scored pairs of several runs, from order lines."""
+    return v.table("lineitem").selectExpr(
+        "l_linenumber AS run", "concat(l_partkey % 50, ' ', l_suppkey % 40, ' ') AS coord", "l_extendedprice * l_discount + l_orderkey / 1e9 AS strength"
+    )
+
+
+RANKING = """
+    r AS (SELECT l_linenumber AS run, concat(l_partkey % 50, ' ', l_suppkey % 40, ' ') AS coord,
+                 l_extendedprice * l_discount + l_orderkey / 1e9 AS strength FROM lineitem),
+    k AS (SELECT *, row_number() OVER ({part}ORDER BY strength DESC, coord) AS rn FROM r),
+    y AS (SELECT run, strength AS p, CAST(a % 3 = 0 AND b % 3 = 0 AND a <> b AS INT) AS y FROM
+          (SELECT *, CAST(string_split(trim(coord), ' ')[1] AS INT) AS a, CAST(string_split(trim(coord), ' ')[2] AS INT) AS b FROM k WHERE rn <= 100)),
+    m AS (SELECT {run}y, rank() OVER ({part}ORDER BY p) + (count(*) OVER (PARTITION BY {run}p) - 1) / 2.0e0 AS r FROM y),
+    s AS (SELECT {run}sum(r) FILTER (y = 1) AS s, count(*) FILTER (y = 1) AS np, count(*) FILTER (y = 0) AS nn FROM m {group})"""
+
+
+def causal(v: Views) -> DataFrame:
+    return v.table("part").selectExpr("p_partkey % 50 AS variant_id").filter("variant_id % 3 = 0").distinct()
+
+
+@query("", f"""WITH {RANKING.format(part='', run='', group='')}
+    SELECT {sql6('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
+def epistasis_auc(v: Views) -> DataFrame:
+    return rounded(i.epistasis_auc(pair_ranking(v), causal(v), k=100), "auc")
+
+
+@query("", f"""WITH {RANKING.format(part='PARTITION BY run ', run='run, ', group='GROUP BY run')}
+    SELECT run, {sql6('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
+def epistasis_auc_per_run(v: Views) -> DataFrame:
+    return rounded(i.epistasis_auc(pair_ranking(v), causal(v), k=100, run="run"), "auc")
+
+
+# ---------------------------------------------------------------- predictors
+
+
+INPUT_FITS = """
+    f0 AS (SELECT variant_id AS node, count(*) AS n, sum(dosage * label_reg) AS xy, sum(dosage * dosage) AS xx, sum(label_reg * label_reg) AS yy,
+                  min(dosage) = max(dosage) AS flat FROM genotype JOIN subject USING (subject_id) GROUP BY variant_id),
+    r0 AS (SELECT node, CASE WHEN NOT flat THEN 1 - n / (n - 1) * (1 - xy * xy / (xx * yy)) END AS r2 FROM f0)"""
+GENE_FITS = Z0 + """,
+    f1 AS (SELECT node, count(*) AS n, sum(tanh(z) * label_reg) AS xy, sum(tanh(z) * tanh(z)) AS xx, sum(label_reg * label_reg) AS yy
+           FROM z0 JOIN subject USING (subject_id) GROUP BY node),
+    r1 AS (SELECT node, 1 - n / (n - 1) * (1 - xy * xy / (xx * yy)) AS r2 FROM f1)"""
+
+
+def labels(v: Views) -> DataFrame:
+    return v.subject.select("subject_id", F.col("label_reg").alias("y"))
+
+
+def gene_activations(v: Views) -> DataFrame:
+    net = small_network(v)
+    return n.apply_activation(n.layer_forward(n.as_nodes(v.genotype), *net.layer(0)), "tanh")
+
+
+@query("genotype subject", f"WITH {INPUT_FITS} SELECT CAST(node AS BIGINT) AS node, {sql6('r2')} AS r2 FROM r0")
+def univariate_fit(v: Views) -> DataFrame:
+    return rounded(i.univariate_fit(n.as_nodes(v.genotype), labels(v)), "r2")
+
+
+@query("genotype subject small_weights small_bias", f"""WITH {INPUT_FITS}, {GENE_FITS}
+    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, {sql6('CASE WHEN r1.r2 < 0 THEN 0.0e0 ELSE (r1.r2 - r0.r2) / r0.r2 END')} AS rlipp
+    FROM small_weights JOIN r0 ON src = r0.node JOIN r1 ON dst = r1.node WHERE layer = 0""")
+def rlipp(v: Views) -> DataFrame:
+    edges = v.small_weights.filter("layer = 0").select("src", "dst")
+    children = i.univariate_fit(n.as_nodes(v.genotype), labels(v))
+    return rounded(i.rlipp(edges, children, i.univariate_fit(gene_activations(v), labels(v))), "rlipp")
+
+
+@query()
+def rlipp_joint(v: Views) -> DataFrame:
+    """Gene fit against the joint fit of its variants, solved for all genes at once."""
+    edges = v.small_weights.filter("layer = 0").select("src", "dst")
+    return i.rlipp_joint(edges, n.as_nodes(v.genotype), gene_activations(v), labels(v))
+
+
+@query()
+def univariate_logit(v: Views) -> DataFrame:
+    """Logistic fit per variant by Newton steps."""
+    y = v.subject.select("subject_id", F.col("label_bin").alias("y"))
+    return i.univariate_logit(n.as_nodes(v.genotype), y)
+
+
+def cases_and_background(v: Views) -> tuple[DataFrame, DataFrame]:
+    return v.subject.filter("set_id = 3 AND label_bin = 1"), v.subject.filter("set_id = 2 AND label_bin = 0")
+
+
+@query()
+def attributions(v: Views) -> DataFrame:
+    """Largest attribution of every variant over the test cases."""
+    cases, background = cases_and_background(v)
+    return i.attributions(small_network(v), v.genotype, cases, background)
+
+
+@query()
+def perturbation_effects(v: Views) -> DataFrame:
+    """Change of all attributions when a variant is set to 0, 1 and 2."""
+    cases, background = cases_and_background(v)
+    return i.dfim(small_network(v), v.genotype, cases, background, v.genotype.select("variant_id").distinct())
+
+
+@query()
+def path_interactions(v: Views) -> DataFrame:
+    """Interactions of the three top-ranked variants with all others."""
+    cases, background = cases_and_background(v)
+    return i.path_interactions(small_network(v), v.genotype, cases, background, 0, 3)

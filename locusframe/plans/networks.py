@@ -1 +1,182 @@
-"""Queries."""
+"""Scoring and training queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from locusframe.operators import network as n
+from locusframe.operators import training as t
+from locusframe.operators.topology import topology_edges
+from locusframe.plans.registry import query, r6, sql6
+from locusframe.plans.views import Views
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def small_network(v: Views, kinds: tuple[str, ...] = ("tanh", "tanh", "sigmoid")) -> n.Network:
+    return n.Network(v.small_weights, v.small_bias, list(kinds))
+
+
+Z0 = """
+    z0 AS (SELECT subject_id, dst AS node, sum(dosage * w) + max(b) AS z
+           FROM genotype JOIN small_weights s ON s.layer = 0 AND src = variant_id JOIN small_bias b ON b.layer = 0 AND b.node = dst
+           GROUP BY subject_id, dst)"""
+SCORES = Z0 + """,
+    z1 AS (SELECT subject_id, dst AS node, sum(tanh(z) * w) + max(b) AS z FROM z0 JOIN small_weights s ON s.layer = 1 AND src = z0.node
+           JOIN small_bias b ON b.layer = 1 AND b.node = dst GROUP BY subject_id, dst),
+    z2 AS (SELECT subject_id, sum(tanh(z) * w) + max(b) AS z FROM z1 JOIN small_weights s ON s.layer = 2 AND src = z1.node
+           JOIN small_bias b ON b.layer = 2 AND b.node = dst GROUP BY subject_id, dst),
+    scores AS (SELECT subject_id, 1 / (1 + exp(-z)) AS p FROM z2)"""
+
+
+@query("genotype_sparse weights bias", f"""
+    SELECT subject_id, dst AS node, {sql6('sum(dosage * w) + max(b)')} AS value
+    FROM genotype_sparse JOIN weights w ON w.layer = 0 AND src = variant_id JOIN bias b ON b.layer = 0 AND b.node = dst
+    GROUP BY subject_id, dst""")
+def layer_forward(v: Views) -> DataFrame:
+    net = n.Network(v.weights, v.bias, ["tanh"] * 3)
+    return rounded(n.layer_forward(n.as_nodes(v.genotype_sparse), *net.layer(0)), "value")
+
+
+@query("genotype small_weights", f"""
+    SELECT subject_id, dst AS node, f AS filter, {sql6('sum(dosage * (w + f * 0.25e0))')} AS value
+    FROM genotype JOIN small_weights ON layer = 0 AND src = variant_id, (SELECT unnest([0, 1, 2]) AS f) GROUP BY subject_id, dst, f""")
+def layer_forward_filters(v: Views) -> DataFrame:
+    return rounded(n.layer_forward(n.as_nodes(v.genotype), filter_weights(v)), "value")
+
+
+def filter_weights(v: Views) -> DataFrame:
+    w = v.small_weights.filter("layer = 0").select("src", "dst", "w", F.explode(F.array(*[F.lit(f) for f in range(3)])).alias("filter"))
+    return w.withColumn("w", F.col("w") + F.col("filter") * 0.25)
+
+
+@query("genotype small_weights", f"""
+    WITH z AS (SELECT subject_id, dst AS node, f, tanh(sum(dosage * (w + f * 0.25e0))) AS a
+               FROM genotype JOIN small_weights ON layer = 0 AND src = variant_id, (SELECT unnest([0, 1, 2]) AS f) GROUP BY subject_id, dst, f)
+    SELECT subject_id, node, {sql6('sum(a * (f - 1 + node / 10.0e0))')} AS value FROM z GROUP BY subject_id, node""")
+def multi_filter_network(v: Views) -> DataFrame:
+    """A gene layer with three filters, then one weight per node and filter."""
+    w = filter_weights(v)
+    acts = n.apply_activation(n.layer_forward(n.as_nodes(v.genotype), w), "tanh")
+    per_node = w.select(F.col("dst").alias("node"), "filter").distinct()
+    per_node = per_node.withColumn("w", F.col("filter") - 1 + F.col("node") / 10.0)
+    return rounded(n.node_layer(acts, per_node), "value")
+
+
+@query("prediction", f"""
+    SELECT subject_id, {sql6('tanh(p - 0.5e0)')} AS tanh, {sql6('greatest(p - 0.5e0, 0)')} AS relu, {sql6('1 / (1 + exp(-(p - 0.5e0)))')} AS sigmoid,
+           {sql6('p - 0.5e0')} AS linear FROM prediction""")
+def activations(v: Views) -> DataFrame:
+    z = F.col("p") - 0.5
+    return v.prediction.select("subject_id", *[r6(n.activate(z, k)).alias(k) for k in ("tanh", "relu", "sigmoid", "linear")])
+
+
+@query("genotype_sparse", f"""
+    WITH m AS (SELECT variant_id, avg(dosage) AS m, var_pop(dosage) AS s FROM genotype_sparse GROUP BY variant_id)
+    SELECT subject_id, variant_id AS node, {sql6('(dosage - m) / sqrt(s + 1e-6)')} AS value FROM genotype_sparse JOIN m USING (variant_id)""")
+def normalise_nodes(v: Views) -> DataFrame:
+    x = n.as_nodes(v.genotype_sparse)
+    return rounded(n.normalise(x, n.node_moments(x)), "value").select("subject_id", "node", "value")
+
+
+@query("genotype_sparse weights", f"""
+    WITH g AS (SELECT dst, avg(dosage) AS m, var_pop(dosage) AS s FROM genotype_sparse JOIN weights ON layer = 0 AND src = variant_id GROUP BY dst),
+    i AS (SELECT src, sum(m) AS m, sum(s) AS s FROM weights JOIN g USING (dst) WHERE layer = 0 GROUP BY src)
+    SELECT subject_id, variant_id AS node, {sql6('(dosage - m) / sqrt(s + 1e-6)')} AS value FROM genotype_sparse JOIN i ON src = variant_id""")
+def normalise_connected(v: Views) -> DataFrame:
+    edges = v.w0.select("src", "dst")
+    return rounded(n.normalise_connected(n.as_nodes(v.genotype_sparse), edges), "value").select("subject_id", "node", "value")
+
+
+@query("genotype_sparse", f"SELECT subject_id, {sql6('sum(dosage * (variant_id % 11 - 5)) + 0.5e0')} AS score FROM genotype_sparse GROUP BY subject_id")
+def dense_output(v: Views) -> DataFrame:
+    w = v.genotype_sparse.select(F.col("variant_id").alias("node")).distinct().withColumn("w", (F.col("node") % 11 - 5).cast("double"))
+    return rounded(n.dense_output(n.as_nodes(v.genotype_sparse), w, 0.5), "score")
+
+
+@query("genotype small_weights small_bias subject", f"""WITH {SCORES}
+    SELECT subject_id, {sql6('1 / (1 + exp(-(0.1e0 + 1.5e0 * (1 / (1 + exp(-p))) - 0.2e0 * cov_1 + 0.05e0 * (cov_2 - 5) / sqrt(10 + 1e-6))))')} AS score
+    FROM (SELECT subject_id, p, cov_1 / sqrt(1 + 1e-6) AS cov_1, cov_2 FROM scores JOIN subject USING (subject_id))""".replace(
+    "1.5e0 * (1 / (1 + exp(-p)))", "1.5e0 * (1 / (1 + exp(-p))) / sqrt(1 + 1e-6)"))
+def covariate_head(v: Views) -> DataFrame:
+    scores = n.predict(small_network(v), n.as_nodes(v.genotype)).withColumnRenamed("p", "score")
+    covs = v.subject.select("subject_id", "cov_1", "cov_2")
+    weights = {"score": 1.5, "cov_1": -0.2, "cov_2": 0.05}
+    moments = {"score": (0.0, 1.0), "cov_1": (0.0, 1.0), "cov_2": (5.0, 10.0)}
+    return rounded(n.covariate_head(scores, covs, weights, 0.1, "sigmoid", moments), "score")
+
+
+@query("genotype", f"SELECT subject_id, CAST(variant_id AS BIGINT) AS node, {sql6('variant_id / 64.0e0 + dosage')} AS value FROM genotype")
+def one_hot_layer(v: Views) -> DataFrame:
+    """Class weights start as w, w + 1, w + 2."""
+    w = v.genotype.select("variant_id").distinct().withColumn("w", F.col("variant_id") / 64.0)
+    return rounded(n.one_hot_layer(v.genotype, n.linear_one_hot(w)), "value")
+
+
+@query("weights", f"SELECT {sql6('sum(abs(w)) * 0.01e0')} AS penalty FROM weights")
+def l1_penalty(v: Views) -> DataFrame:
+    return rounded(n.l1_penalty(v.weights, 0.01), "penalty")
+
+
+@query("genotype small_weights small_bias", f"WITH {SCORES} SELECT subject_id, {sql6('p')} AS p FROM scores")
+def predict(v: Views) -> DataFrame:
+    return rounded(n.predict(small_network(v), n.as_nodes(v.genotype)), "p")
+
+
+@query("genotype small_weights small_bias", f"""WITH {Z0},
+    s AS (SELECT node, stddev_pop(tanh(z)) AS s FROM z0 GROUP BY node),
+    i AS (SELECT node, abs(w * s) AS importance FROM s JOIN small_weights ON layer = 1 AND src = node)
+    SELECT node, {sql6('importance')} AS importance, {sql6('importance / (SELECT max(importance) FROM i)')} AS relative FROM i""")
+def activation_importance(v: Views) -> DataFrame:
+    net = small_network(v)
+    acts = n.apply_activation(n.layer_forward(n.as_nodes(v.genotype), *net.layer(0)), "tanh")
+    w = v.small_weights.filter("layer = 1").select(F.col("src").alias("node"), "w")
+    return rounded(n.activation_importance(acts, w), "importance", "relative").select(F.col("node").cast("int").alias("node"), "importance", "relative")
+
+
+# ---------------------------------------------------------------- training
+
+
+def cohort_sets(v: Views, label: str = "label_bin") -> tuple[DataFrame, DataFrame]:
+    rows = v.subject.select("subject_id", F.col(label).cast("double").alias("label"), "cov_1", "cov_2", "set_id")
+    return rows.filter("set_id = 1").drop("set_id"), rows.filter("set_id = 2").drop("set_id")
+
+
+def history(v: Views, fit: t.Fit) -> DataFrame:
+    rows = [(h["epoch"], float(h["loss"]), float(h["val_loss"]), float(h["rate"])) for h in fit.history]
+    return v.spark.createDataFrame(rows, "epoch int, loss double, val_loss double, rate double")
+
+
+@query()
+def fit_topology_network(v: Views) -> DataFrame:
+    """Loss per epoch of a gene and pathway network with covariates."""
+    train, validation = cohort_sets(v)
+    params = t.Params(learning_rate=0.05, epochs=3, l1=0.001, l1_activity=0.0)
+    fit = t.fit_topology_net(v.genotype, train, validation, topology_edges(v.small_topology), params, covariates=["cov_1", "cov_2"])
+    return history(v, fit)
+
+
+@query()
+def fit_gene_network_l1(v: Views) -> DataFrame:
+    """Fitted weights of one gene layer."""
+    train, validation = cohort_sets(v)
+    params = t.Params(learning_rate=0.05, epochs=2, normalise=False)
+    return t.fit_gene_l1(v.genotype, train, validation, topology_edges(v.small_topology), params).network.edges
+
+
+@query()
+def fit_lasso(v: Views) -> DataFrame:
+    """Linear L1 baseline on all variants."""
+    train, validation = cohort_sets(v, "label_reg")
+    params = t.Params(learning_rate=0.05, epochs=3, regression=True)
+    return t.fit_lasso(v.genotype, train, validation, params).network.edges.select("src", "w")
+
+
+@query()
+def fit_logistic(v: Views) -> DataFrame:
+    """Coefficients of the logistic comparator by size."""
+    train, validation = cohort_sets(v)
+    return t.fit_logistic(v.genotype, train, validation, t.Params(learning_rate=0.1, epochs=4))
