@@ -20,7 +20,7 @@ def clean_gene(name: Column) -> Column:
 
 def explode_columns(df: DataFrame, columns: Sequence[str], separator: str = ",") -> DataFrame:
     """One row per element of parallel list columns; shorter lists are filled with null."""
-    lists = [F.transform(F.split(F.col(c), separator), F.trim).alias(c) for c in columns]
+    lists = [F.transform(F.split(F.col(c), separator), lambda x: F.trim(x)).alias(c) for c in columns]
     others = [c for c in df.columns if c not in columns]
     zipped = df.select(*others, *lists).select(*others, F.explode(F.arrays_zip(*columns)).alias("_e"))
     return zipped.select(*[F.col(f"_e.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

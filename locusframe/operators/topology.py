@@ -82,9 +82,8 @@ def pathway_membership(pathways: DataFrame, hierarchy: DataFrame) -> DataFrame:
     )
     known = listed.groupBy("hsaid").agg(F.min("listed").alias("listed")).join(hierarchy.select("hsaid", "local"), "hsaid")
     local = number_rows(known, ["listed", "hsaid"], "local_id").drop("listed")
-    return listed.join(local, "hsaid").select(
-        F.trim(F.explode("genes")).alias("gene"), "hsaid", "local", "local_id", "n_genes"
-    )
+    members = listed.join(local, "hsaid").select(F.explode("genes").alias("gene"), "hsaid", "local", "local_id", "n_genes")
+    return members.withColumn("gene", F.trim("gene"))
 
 
 def pathway_edges(genes: DataFrame, pathways: DataFrame, hierarchy: DataFrame) -> DataFrame:

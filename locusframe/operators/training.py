@@ -17,7 +17,16 @@ from pyspark.sql import functions as F
 from locusframe.functions.activations import activate, hidden_kind, output_kind, slope
 from locusframe.operators.cohort import assign_batches
 from locusframe.operators.metrics import BCE_CLIP, bce_term
-from locusframe.operators.network import EPSILON, Network, as_nodes, covariate_nodes, layer_forward, predict
+from locusframe.operators.network import (
+    EPSILON,
+    Network,
+    as_nodes,
+    covariate_nodes,
+    layer_forward,
+    node_moments,
+    normalise,
+    predict,
+)
 from locusframe.operators.ordering import seeded_order
 from locusframe.session import materialise
 
@@ -104,69 +113,62 @@ def row_loss(p: Column, y: Column, params: Params) -> Column:
     return bce_term(y, p, params.positive_weight)
 
 
-def _gradients(net: Network, x: DataFrame, subjects: DataFrame, params: Params, held: list) -> tuple[DataFrame, DataFrame]:
-    """(gradients (layer, src, dst, g), mean loss) over `subjects`; `held` collects cached tables."""
+def _moments(values: DataFrame) -> DataFrame:
+    """(node, mean, scale) over the subjects of a batch."""
+    return values.groupBy("node").agg(
+        F.avg("value").alias("mean"), F.sqrt(F.var_pop("value") + EPSILON).alias("scale")
+    )
 
-    def keep(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return df
 
-    n = subjects.count()
+def _scaled(values: DataFrame, moments: DataFrame) -> DataFrame:
+    shifted = (F.col("value") - F.col("mean")) / F.col("scale")
+    return values.join(moments, "node").select("subject_id", "node", shifted.alias("value"), "scale")
+
+
+def _forward(net: Network, x: DataFrame, subjects: DataFrame, params: Params) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(inputs, sums z) of every layer; each layer's sums are one written table, so plans stay flat."""
     inputs, sums = [x], []
     for i, kind in enumerate(net.kinds):
-        weights, bias = net.layer(i)
-        z = keep(layer_forward(inputs[i], weights, bias).withColumnRenamed("value", "z"))
+        z = materialise(layer_forward(inputs[i], *net.layer(i)).withColumnRenamed("value", "z"))
         sums.append(z)
         if i == net.depth - 1:
             break
         a = z.select("subject_id", "node", activate(F.col("z"), kind).alias("value"))
         if net.covariates and i == net.depth - 2:
             a = a.unionByName(covariate_nodes(subjects, net.covariates))
-        if params.normalise:
-            moments = a.groupBy("node").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
-            scale = F.sqrt(F.col("variance") + EPSILON)
-            a = a.join(moments, "node").select(
-                "subject_id", "node", ((F.col("value") - F.col("mean")) / scale).alias("value"), scale.alias("scale")
-            )
-        inputs.append(keep(a))
+        inputs.append(_scaled(a, materialise(_moments(a))) if params.normalise else a)
+    return inputs, sums
 
+
+def _gradients(net: Network, x: DataFrame, subjects: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """(gradients (layer, src, dst, g), mean loss) over `subjects`."""
+    n = subjects.count()
+    inputs, sums = _forward(net, x, subjects, params)
     p = activate(F.col("z"), net.kinds[-1])
     scored = sums[-1].join(subjects.select("subject_id", "label"), "subject_id")
     loss = scored.agg(F.avg(row_loss(p, F.col("label"), params)).alias("loss"))
     penalty = params.l1_activity / n
-    delta = keep(
-        scored.select(
-            "subject_id",
-            "node",
-            (_loss_slope(p, F.col("label"), params) / n * slope(F.col("z"), net.kinds[-1]) + F.signum("z") * penalty).alias("d"),
-        )
-    )
+    last = _loss_slope(p, F.col("label"), params) / n * slope(F.col("z"), net.kinds[-1])
+    delta = materialise(scored.select("subject_id", "node", (last + F.signum("z") * penalty).alias("d")))
     grads = []
     for i in range(net.depth - 1, -1, -1):
         weights, _ = net.layer(i)
         edges = weights.select(F.col("src").alias("node"), "dst", "w")
         out = delta.select("subject_id", F.col("node").alias("dst"), "d")
         cells = inputs[i].join(edges, "node").join(out, ["subject_id", "dst"])
-        grads.append(
-            cells.groupBy("node", "dst").agg(F.sum(F.col("value") * F.col("d")).alias("g"))
-            .select(F.lit(i).alias("layer"), F.col("node").alias("src"), "dst", "g")
-        )
-        grads.append(
-            out.groupBy("dst").agg(F.sum("d").alias("g"))
-            .select(F.lit(i).alias("layer"), F.lit(BIAS).cast("long").alias("src"), "dst", "g")
-        )
+        per_edge = cells.groupBy("node", "dst").agg(F.sum(F.col("value") * F.col("d")).alias("g"))
+        grads.append(per_edge.select(F.lit(i).alias("layer"), F.col("node").alias("src"), "dst", "g"))
+        per_node = out.groupBy("dst").agg(F.sum("d").alias("g"))
+        grads.append(per_node.select(F.lit(i).alias("layer"), F.lit(BIAS).cast("long").alias("src"), "dst", "g"))
         if i == 0:
             break
         back = out.join(edges, "dst").groupBy("subject_id", "node").agg(F.sum(F.col("d") * F.col("w")).alias("d"))
         if params.normalise:
-            back = _through_normalisation(back, inputs[i], n)
+            back = _through_normalisation(materialise(back), inputs[i], n)
         kind = net.kinds[i - 1]
         # Covariate nodes have no sum below them and drop out here.
-        delta = keep(
-            back.join(sums[i - 1], ["subject_id", "node"]).select(
-                "subject_id", "node", (F.col("d") * slope(F.col("z"), kind) + F.signum("z") * penalty).alias("d")
-            )
-        )
+        below = F.col("d") * slope(F.col("z"), kind) + F.signum("z") * penalty
+        delta = materialise(back.join(sums[i - 1], ["subject_id", "node"]).select("subject_id", "node", below.alias("d")))
     return reduce(DataFrame.unionByName, grads), loss
 
 
@@ -176,9 +178,8 @@ def _through_normalisation(back: DataFrame, x: DataFrame, n: int) -> DataFrame:
     means = joined.groupBy("node").agg(
         (F.sum("d") / n).alias("_d"), (F.sum(F.col("d") * F.col("value")) / n).alias("_dx")
     )
-    return joined.join(means, "node").select(
-        "subject_id", "node", ((F.col("d") - F.col("_d") - F.col("value") * F.col("_dx")) / F.col("scale")).alias("d")
-    )
+    inner = (F.col("d") - F.col("_d") - F.col("value") * F.col("_dx")) / F.col("scale")
+    return joined.join(means, "node").select("subject_id", "node", inner.alias("d"))
 
 
 def _adam(parameters: DataFrame, grads: DataFrame, step: int, rate: float, params: Params) -> DataFrame:
@@ -197,19 +198,13 @@ def training_moments(net: Network, x: DataFrame, subjects: DataFrame) -> DataFra
     """Moments (layer, node, mean, variance) of every layer's outputs over the training subjects."""
     values, found = x, []
     for i, kind in enumerate(net.kinds[:-1]):
-        weights, bias = net.layer(i)
-        out = layer_forward(values, weights, bias).withColumn("value", activate(F.col("value"), kind))
+        out = layer_forward(values, *net.layer(i)).withColumn("value", activate(F.col("value"), kind))
         if net.covariates and i == net.depth - 2:
             out = out.unionByName(covariate_nodes(subjects, net.covariates))
-        moments = materialise(
-            out.groupBy("node").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
-            .select(F.lit(i).alias("layer"), "node", "mean", "variance")
-        )
-        found.append(moments)
-        scale = F.sqrt(F.col("variance") + EPSILON)
-        values = out.join(moments.drop("layer"), "node").select(
-            "subject_id", "node", ((F.col("value") - F.col("mean")) / scale).alias("value")
-        )
+        out = materialise(out)
+        moments = materialise(node_moments(out))
+        found.append(moments.withColumn("layer", F.lit(i)))
+        values = normalise(out, moments)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -254,12 +249,9 @@ def fit_topology_net(
         losses = []
         for batch_subjects, cells in _batches(train, x_train, epoch, params, facts[2]):
             step += 1
-            held: list[DataFrame] = []
-            grads, loss = _gradients(as_network(parameters, kinds, covs), cells, batch_subjects, params, held)
+            grads, loss = _gradients(as_network(parameters, kinds, covs), cells, batch_subjects, params)
             parameters = materialise(_adam(parameters, grads, step, rate, params))
             losses.append(loss.first()[0])
-            for df in held:
-                df.unpersist()
         net = as_network(parameters, kinds, covs)
         if params.normalise and depth > 1:
             net.moments = training_moments(net, x_train, train)

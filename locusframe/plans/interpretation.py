@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from locusframe.operators import interpret as i
 from locusframe.operators import network as n
 from locusframe.operators.cohort import top_hits
-from locusframe.plans.networks import Z0, rounded, small_network
-from locusframe.plans.registry import query, r6, sql6
+from locusframe.plans.networks import Z0, small_network
+from locusframe.plans.registry import query, r9, sql9
 from locusframe.plans.views import Views
 
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[r9(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 PATHS = """
     cw AS (SELECT t.*, w0.w AS weights_0, w1.w AS weights_1, w2.w AS weights_2, w0.w * w1.w * w2.w AS raw FROM topology t
            JOIN weights w0 ON w0.layer = 0 AND w0.src = layer0_node AND w0.dst = layer1_node
@@ -29,7 +35,7 @@ def paths_with_chr(v: Views) -> DataFrame:
 
 
 @query("topology weights", f"""WITH {PATHS}
-    SELECT layer0_node, layer0_name, layer1_node, layer1_name, layer2_node, layer2_name, weights_0, weights_1, weights_2, {sql6('raw')} AS raw_importance FROM cw""")
+    SELECT layer0_node, layer0_name, layer1_node, layer1_name, layer2_node, layer2_name, weights_0, weights_1, weights_2, {sql9('raw')} AS raw_importance FROM cw""")
 def connection_weights(v: Views) -> DataFrame:
     return rounded(paths(v), "raw_importance")
 
@@ -39,7 +45,7 @@ def connection_weights(v: Views) -> DataFrame:
                FROM weights w0 JOIN weights w1 ON w0.layer = 0 AND w1.layer = 1 AND w0.dst = w1.src
                JOIN weights w2 ON w2.layer = 2 AND w1.dst = w2.src, (SELECT unnest([0, 1]) AS f0), (SELECT unnest([0, 1]) AS f1)),
     t AS (SELECT input, f0 * 2 + f1 AS filter, v FROM p), s AS (SELECT filter, sum(abs(v)) AS total FROM t GROUP BY filter)
-    SELECT input, filter, {sql6('v')} AS importance, {sql6('100 * abs(v) / total')} AS percentage FROM t JOIN s USING (filter)""")
+    SELECT input, filter, {sql9('v')} AS importance, {sql9('100 * abs(v) / total')} AS percentage FROM t JOIN s USING (filter)""")
 def input_importance(v: Views) -> DataFrame:
     copies = F.explode(F.when(F.col("layer") < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("filter")
     shift = F.when(F.col("layer") == 0, F.col("filter") * 0.5).otherwise(F.col("filter") * -0.25)
@@ -50,7 +56,7 @@ def input_importance(v: Views) -> DataFrame:
 @query("topology weights", f"""WITH {PATHS}, t AS (SELECT sum(abs(raw)) AS total FROM cw),
     s AS (SELECT 0 AS level, layer0_name AS name, abs(raw) AS a FROM cw UNION ALL SELECT 1, layer1_name, abs(raw) FROM cw
           UNION ALL SELECT 2, layer2_name, abs(raw) FROM cw)
-    SELECT level, name, {sql6('100 * sum(a) / max(total)')} AS share FROM s, t GROUP BY level, name HAVING 100 * sum(a) / max(total) > 0.01e0""")
+    SELECT level, name, {sql9('100 * sum(a) / max(total)')} AS share FROM s, t GROUP BY level, name HAVING 100 * sum(a) / max(total) > 0.01e0""")
 def importance_rollup(v: Views) -> DataFrame:
     return rounded(i.importance_rollup(paths(v), [0, 1, 2]), "share")
 
@@ -58,21 +64,21 @@ def importance_rollup(v: Views) -> DataFrame:
 @query("topology weights", f"""WITH {WITH_CHR},
     e AS (SELECT DISTINCT chr, layer0_node, layer0_name, layer1_node, layer1_name, weights_0 AS w FROM cw)
     SELECT chr, layer0_node, layer0_name, layer1_node, layer1_name, w, row_number() OVER (ORDER BY chr, layer0_node, layer1_node) - 1 AS pos,
-           {sql6('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
+           {sql9('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
 def layer_weight_table(v: Views) -> DataFrame:
     return rounded(i.layer_weight_table(paths_with_chr(v), 0), "plot_weight")
 
 
 @query("topology weights", f"""WITH {PATHS}, e AS (SELECT DISTINCT layer2_node, layer2_name, weights_2 AS w FROM cw)
     SELECT layer2_node, layer2_name, w, CAST(0 AS BIGINT) AS layer3_node, 'end_node' AS layer3_name,
-           row_number() OVER (ORDER BY layer2_node) - 1 AS pos, {sql6('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
+           row_number() OVER (ORDER BY layer2_node) - 1 AS pos, {sql9('abs(w) / max(abs(w)) OVER ()')} AS plot_weight FROM e""")
 def last_layer_weight_table(v: Views) -> DataFrame:
     return rounded(i.layer_weight_table(paths(v), 2), "plot_weight")
 
 
 @query("topology weights", f"""WITH {WITH_CHR}
-    SELECT chr, layer0_node, layer1_node, layer2_node, layer0_name, layer1_name, layer2_name, {sql6('raw')} AS raw_importance,
-           row_number() OVER (ORDER BY chr, layer0_node, layer1_node, layer2_node) - 1 AS pos, {sql6('abs(raw) / max(abs(raw)) OVER ()')} AS relative FROM cw""")
+    SELECT chr, layer0_node, layer1_node, layer2_node, layer0_name, layer1_name, layer2_name, {sql9('raw')} AS raw_importance,
+           row_number() OVER (ORDER BY chr, layer0_node, layer1_node, layer2_node) - 1 AS pos, {sql9('abs(raw) / max(abs(raw)) OVER ()')} AS relative FROM cw""")
 def manhattan_table(v: Views) -> DataFrame:
     return rounded(i.manhattan_table(paths_with_chr(v)), "raw_importance", "relative")
 
@@ -80,14 +86,14 @@ def manhattan_table(v: Views) -> DataFrame:
 @query("topology weights", f"""WITH {WITH_CHR},
     p AS (SELECT chr, row_number() OVER (ORDER BY chr, layer0_node, layer1_node, layer2_node) - 1 AS pos FROM cw),
     e AS (SELECT chr, max(pos) + 1 AS "end" FROM p GROUP BY chr)
-    SELECT chr, start, "end", {sql6('(start + "end") / 2')} AS middle
+    SELECT chr, start, "end", {sql9('(start + "end") / 2')} AS middle
     FROM (SELECT chr, "end", coalesce(lag("end") OVER (ORDER BY "end"), 0) AS start FROM e)""")
 def chromosome_bounds(v: Views) -> DataFrame:
     return rounded(i.group_bounds(i.manhattan_table(paths_with_chr(v))), "middle")
 
 
 @query("topology weights", f"""WITH {PATHS}
-    SELECT layer0_name, {sql6('abs(raw)')} AS importance FROM cw ORDER BY abs(raw) DESC, layer0_name LIMIT 10""")
+    SELECT layer0_name, {sql9('abs(raw)')} AS importance FROM cw ORDER BY abs(raw) DESC, layer0_name LIMIT 10""")
 def strongest_paths(v: Views) -> DataFrame:
     table = paths(v).withColumn("importance", F.abs("raw_importance"))
     return rounded(top_hits(table, 10, "importance", "layer0_name").select("layer0_name", "importance"), "importance")
@@ -100,19 +106,19 @@ DOWN = """
                       down FROM weights JOIN down ON layer = 0 AND node = dst)"""
 
 
-@query("weights", f"WITH {DOWN} SELECT node, {sql6('down')} AS down FROM down")
+@query("weights", f"WITH {DOWN} SELECT node, {sql9('down')} AS down FROM down")
 def downstream_weight(v: Views) -> DataFrame:
     return rounded(i.downstream_weight(v.weights, 0), "down")
 
 
-@query("weights", f"WITH {DOWN} SELECT gene, src, rank, {sql6('size * down')} AS strength, rank - 1 AS partners FROM ranked")
+@query("weights", f"WITH {DOWN} SELECT gene, src, rank, {sql9('size * down')} AS strength, rank - 1 AS partners FROM ranked")
 def interaction_profile(v: Views) -> DataFrame:
     """Every pair of every gene, one row per input for all pairs it decides."""
     return rounded(i.interaction_profile(v.w0, i.downstream_weight(v.weights, 0)), "strength")
 
 
 @query("weights", f"""WITH {DOWN}, fan AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM ranked GROUP BY gene))
-    SELECT gene, src, rank, {sql6('size * down')} AS strength, rank - 1 AS partners FROM ranked, fan WHERE rank <= n""")
+    SELECT gene, src, rank, {sql9('size * down')} AS strength, rank - 1 AS partners FROM ranked, fan WHERE rank <= n""")
 def interaction_profile_common_size(v: Views) -> DataFrame:
     """The same over as many inputs per gene as the smallest gene has."""
     found = i.interaction_profile(v.w0, i.downstream_weight(v.weights, 0), n=i.smallest_fan_in(v.w0))
@@ -120,7 +126,7 @@ def interaction_profile_common_size(v: Views) -> DataFrame:
 
 
 @query("weights", f"""WITH {DOWN}
-    SELECT b.gene, a.src AS src_a, b.src AS src_b, {sql6('b.size * b.down')} AS strength FROM ranked a JOIN ranked b ON a.gene = b.gene AND a.rank < b.rank
+    SELECT b.gene, a.src AS src_a, b.src AS src_b, {sql9('b.size * b.down')} AS strength FROM ranked a JOIN ranked b ON a.gene = b.gene AND a.rank < b.rank
     ORDER BY b.size * b.down DESC, b.gene, b.rank, a.rank LIMIT 100""")
 def strongest_interactions(v: Views) -> DataFrame:
     return rounded(i.top_interactions(v.w0, i.downstream_weight(v.weights, 0), k=100), "strength")
@@ -148,13 +154,13 @@ def causal(v: Views) -> DataFrame:
 
 
 @query("", f"""WITH {RANKING.format(part='', run='', group='')}
-    SELECT {sql6('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
+    SELECT {sql9('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
 def epistasis_auc(v: Views) -> DataFrame:
     return rounded(i.epistasis_auc(pair_ranking(v), causal(v), k=100), "auc")
 
 
 @query("", f"""WITH {RANKING.format(part='PARTITION BY run ', run='run, ', group='GROUP BY run')}
-    SELECT run, {sql6('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
+    SELECT run, {sql9('coalesce((s - np * (np + 1) / 2.0e0) / nullif(np * nn, 0), 0)')} AS auc FROM s""")
 def epistasis_auc_per_run(v: Views) -> DataFrame:
     return rounded(i.epistasis_auc(pair_ranking(v), causal(v), k=100, run="run"), "auc")
 
@@ -181,13 +187,13 @@ def gene_activations(v: Views) -> DataFrame:
     return n.apply_activation(n.layer_forward(n.as_nodes(v.genotype), *net.layer(0)), "tanh")
 
 
-@query("genotype subject", f"WITH {INPUT_FITS} SELECT CAST(node AS BIGINT) AS node, {sql6('r2')} AS r2 FROM r0")
+@query("genotype subject", f"WITH {INPUT_FITS} SELECT CAST(node AS BIGINT) AS node, {sql9('r2')} AS r2 FROM r0")
 def univariate_fit(v: Views) -> DataFrame:
     return rounded(i.univariate_fit(n.as_nodes(v.genotype), labels(v)), "r2")
 
 
 @query("genotype subject small_weights small_bias", f"""WITH {INPUT_FITS}, {GENE_FITS}
-    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, {sql6('CASE WHEN r1.r2 < 0 THEN 0.0e0 ELSE (r1.r2 - r0.r2) / r0.r2 END')} AS rlipp
+    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, {sql9('CASE WHEN r1.r2 < 0 THEN 0.0e0 ELSE (r1.r2 - r0.r2) / r0.r2 END')} AS rlipp
     FROM small_weights JOIN r0 ON src = r0.node JOIN r1 ON dst = r1.node WHERE layer = 0""")
 def rlipp(v: Views) -> DataFrame:
     edges = v.small_weights.filter("layer = 0").select("src", "dst")

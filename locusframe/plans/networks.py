@@ -42,7 +42,7 @@ def layer_forward(v: Views) -> DataFrame:
 
 
 @query("genotype small_weights", f"""
-    SELECT subject_id, dst AS node, f AS filter, {sql6('sum(dosage * (w + f * 0.25e0))')} AS value
+    SELECT subject_id, CAST(dst AS BIGINT) AS node, f AS filter, {sql6('sum(dosage * (w + f * 0.25e0))')} AS value
     FROM genotype JOIN small_weights ON layer = 0 AND src = variant_id, (SELECT unnest([0, 1, 2]) AS f) GROUP BY subject_id, dst, f""")
 def layer_forward_filters(v: Views) -> DataFrame:
     return rounded(n.layer_forward(n.as_nodes(v.genotype), filter_weights(v)), "value")
@@ -56,7 +56,7 @@ def filter_weights(v: Views) -> DataFrame:
 @query("genotype small_weights", f"""
     WITH z AS (SELECT subject_id, dst AS node, f, tanh(sum(dosage * (w + f * 0.25e0))) AS a
                FROM genotype JOIN small_weights ON layer = 0 AND src = variant_id, (SELECT unnest([0, 1, 2]) AS f) GROUP BY subject_id, dst, f)
-    SELECT subject_id, node, {sql6('sum(a * (f - 1 + node / 10.0e0))')} AS value FROM z GROUP BY subject_id, node""")
+    SELECT subject_id, CAST(node AS BIGINT) AS node, {sql6('sum(a * (f - 1 + node / 10.0e0))')} AS value FROM z GROUP BY subject_id, node""")
 def multi_filter_network(v: Views) -> DataFrame:
     """A gene layer with three filters, then one weight per node and filter."""
     w = filter_weights(v)

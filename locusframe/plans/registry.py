@@ -25,6 +25,16 @@ def sql6(expression: str) -> str:
     return f"round({expression}, 6) + 0.0e0"
 
 
+def r9(value: Column | str) -> Column:
+    """Round to nine places: ratios and short products, which may end in a 5 at the seventh."""
+    return F.round(F.col(value) if isinstance(value, str) else value, 9) + F.lit(0.0)
+
+
+def sql9(expression: str) -> str:
+    """`r9` in SQL."""
+    return f"round({expression}, 9) + 0.0e0"
+
+
 def with_views(names: str, body: str) -> str:
     """`body` behind the views it needs, with the views those need first."""
     order: list[str] = []
@@ -41,6 +51,8 @@ def with_views(names: str, body: str) -> str:
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEW_SQL[n][1]})" for n in order)
     # A body may bring its own WITH list.
     body = body.strip()
+    if not order:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -32,13 +32,13 @@ def number_genes(v: Views) -> DataFrame:
 
 @query("annotation", f"""WITH {CLEAN}
     SELECT k.chr, CAST(index_col AS BIGINT) AS layer0_node, concat('chr', k.chr, ':', k.bps) AS layer0_name, gene_id AS layer1_node,
-           name AS layer1_name FROM known k JOIN genes ON gene = name""")
+           name AS layer1_name FROM known k JOIN genes g ON g.gene = name""")
 def gene_topology(v: Views) -> DataFrame:
     return t.gene_topology(v.annotation)
 
 
 @query("annotation", f"""WITH {CLEAN}
-    SELECT DISTINCT CAST(index_col AS BIGINT) AS src, gene_id AS dst FROM known JOIN genes ON gene = name""")
+    SELECT DISTINCT CAST(index_col AS BIGINT) AS src, gene_id AS dst FROM known k JOIN genes g ON g.gene = name""")
 def variant_gene_edges(v: Views) -> DataFrame:
     return t.topology_edges(t.gene_topology(v.annotation), layer=0).select("src", "dst")
 
@@ -101,7 +101,7 @@ def gene_boundaries(v: Views) -> DataFrame:
 
 
 @query("annotation", f"""WITH {CLEAN},
-    edges AS (SELECT DISTINCT CAST(index_col AS BIGINT) AS src, gene_id AS dst FROM known JOIN genes ON gene = name)
+    edges AS (SELECT DISTINCT CAST(index_col AS BIGINT) AS src, gene_id AS dst FROM known k JOIN genes g ON g.gene = name)
     SELECT src, dense_rank() OVER (ORDER BY src) - 1 AS new_src, dst FROM edges""")
 def compact_edges(v: Views) -> DataFrame:
     return t.compact_edges(t.topology_edges(t.gene_topology(v.annotation)))
