@@ -96,6 +96,13 @@ def index_values(df: DataFrame, column: str, out: str, start: int = 0) -> DataFr
 
 
 def seeded_order(column: str | Column, seed: int) -> Column:
-    """Reproducible pseudo-random key of an integer id."""
+    """Reproducible pseudo-random key below 2^32 of an integer id.
+
+    A product with the seed added only turns the ring of ids, so two rounds of
+    shift, exclusive or and product follow it; all steps stay below 2^63.
+    """
     id_ = F.col(column) if isinstance(column, str) else column
-    return (id_ * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    key = (F.pmod(id_.cast("long"), F.lit(2147483647)) * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    for _ in range(2):
+        key = key.bitwiseXOR(F.shiftright(key, 15)) * F.lit(1540483477) % F.lit(4294967296)
+    return key

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import association as a
 from locusframe.operators import genotype as g
-from locusframe.plans.registry import query, r6, sql6
+from locusframe.plans.registry import query, r6, sql6, sql_order
 from locusframe.plans.views import Views
 from locusframe.session import materialise, shared_folder
 from locusframe.sources import sinks
@@ -207,7 +207,7 @@ def gwas_p_values(v: Views) -> DataFrame:
 
 @query("genotype subject", f"""
     WITH ranked AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) AS r FROM subject),
-    shuffled AS (SELECT label_reg, row_number() OVER (ORDER BY (subject_id * 2654435761 + 7 * 40503) % 4294967296, subject_id) AS r FROM subject),
+    shuffled AS (SELECT label_reg, row_number() OVER (ORDER BY {sql_order('subject_id', 7)}, subject_id) AS r FROM subject),
     given AS (SELECT subject_id, label_reg AS y FROM ranked JOIN shuffled USING (r)),
     {single_covariate("SELECT variant_id, 'label_reg' AS trait, CAST(dosage AS DOUBLE) AS g, cov_1 AS c, y FROM genotype JOIN subject USING (subject_id) JOIN given USING (subject_id)")}
     SELECT * FROM result""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import cohort as c
-from locusframe.plans.registry import query, r6, sql6
+from locusframe.plans.registry import query, r6, sql6, sql_order
 from locusframe.plans.views import Views
 
 
@@ -35,22 +35,22 @@ def class_balance(v: Views) -> DataFrame:
     return c.class_balance(labelled).withColumn("ratio", r6("ratio"))
 
 
-@query("prediction", """
-    WITH r AS (SELECT subject_id, y, row_number() OVER (PARTITION BY y ORDER BY (subject_id * 2654435761 + 3 * 40503) % 4294967296, subject_id) - 1 AS r,
+@query("prediction", f"""
+    WITH r AS (SELECT subject_id, y, row_number() OVER (PARTITION BY y ORDER BY {sql_order('subject_id', 3)}, subject_id) - 1 AS r,
                       count(*) OVER (PARTITION BY y) AS n FROM prediction)
     SELECT subject_id, y AS label, CASE WHEN r < round_even(0.6e0 * n, 0) THEN 1 WHEN r < round_even(0.8e0 * n, 0) THEN 2 ELSE 3 END AS set_id FROM r""")
 def stratified_split(v: Views) -> DataFrame:
     return c.stratified_split(v.prediction.select("subject_id", F.col("y").alias("label")), seed=3)
 
 
-@query("prediction", """
-    SELECT subject_id FROM prediction ORDER BY (subject_id * 2654435761 + 9 * 40503) % 4294967296, subject_id LIMIT 100""")
+@query("prediction", f"""
+    SELECT subject_id FROM prediction ORDER BY {sql_order('subject_id', 9)}, subject_id LIMIT 100""")
 def evaluation_sample(v: Views) -> DataFrame:
     return c.sample_n(v.prediction.select("subject_id"), 100, seed=9)
 
 
-@query("prediction", """
-    WITH r AS (SELECT subject_id, row_number() OVER (ORDER BY (subject_id * 2654435761 + 5 * 40503) % 4294967296, subject_id) - 1 AS r,
+@query("prediction", f"""
+    WITH r AS (SELECT subject_id, row_number() OVER (ORDER BY {sql_order('subject_id', 5)}, subject_id) - 1 AS r,
                       count(*) OVER () AS n FROM prediction)
     SELECT subject_id, (r - 64) // 32 AS batch FROM r WHERE r >= 64 AND r < 128""")
 def shuffled_batches(v: Views) -> DataFrame:

@@ -35,6 +35,14 @@ def sql9(expression: str) -> str:
     return f"round({expression}, 9) + 0.0e0"
 
 
+def sql_order(column: str, seed: int) -> str:
+    """`seeded_order` of a non-negative id in SQL."""
+    key = f"(({column} % 2147483647 * 2654435761 + {seed * 40503}) % 4294967296)"
+    for _ in range(2):
+        key = f"(xor({key}, {key} >> 15) * 1540483477 % 4294967296)"
+    return key
+
+
 def with_views(names: str, body: str) -> str:
     """`body` behind the views it needs, with the views those need first."""
     order: list[str] = []
