@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -513,72 +514,272 @@ def masked_cross(geno: DataFrame, traits: DataFrame, trait_names: Sequence[str])
 
 # ---------------------------------------------------------------- dense tiles
 
+# A design up to this size travels to every task; beyond it tiles and design rows meet in a shuffle.
+BROADCAST_BYTES = 128 << 20
+# Variants multiplied at once, which bounds the dense working matrix.
+ROWS_PER_PRODUCT = 512
+# Variants whose sums over all subject tiles are added up and tested together.
+VARIANTS_PER_SOLVE = 64
 
-def tile_sums(
-    tiles: DataFrame, design: DataFrame, others: Sequence[str], tile: int, groups: int, sparse: bool
-) -> DataFrame:
-    """`_cell_sums` of a variant-major tiled matrix by blocked matrix products.
 
-    A task call multiplies the variants of one group in one subject tile by the design
-    rows of that tile. Its memory is set by the tile size, the group size and the
-    number of columns; the design is copied once per group, never broadcast.
+def _packed(tiles: DataFrame, tile: int) -> DataFrame:
+    """Tiles for the product: the dosages, and where they lie in the tile.
+
+    A gapless run of subjects is told by its first place alone, so a dense tile carries
+    nothing but its dosages.
     """
-    width = len(others)
-
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in dtypes.items()})
-        place = right["subject_id"].to_numpy() % tile
-        x = np.zeros((tile, width))
-        x[place] = right[list(others)].to_numpy(float)
-        present = np.zeros(tile, dtype=bool)
-        present[place] = True
-        counts = left["dosages"].map(len).to_numpy()
-        rows = np.repeat(np.arange(len(left)), counts)
-        at = np.concatenate(left["subject_ids"].to_numpy()) % tile
-        value = np.concatenate(left["dosages"].to_numpy()).astype(float)
-        keep = present[at]
-        rows, at, value = rows[keep], at[keep], value[keep]
-        called = ~np.isnan(value)
-        dosage = np.zeros((len(left), tile))
-        dosage[rows[called], at[called]] = value[called]
-        marked = ~called if sparse else called
-        out = pd.DataFrame({"variant_id": left["variant_id"].to_numpy()})
-        out["_called"] = np.bincount(rows[called], minlength=len(left))
-        out["_cells"] = np.bincount(rows, minlength=len(left))
-        out["_g"] = dosage.sum(axis=1)
-        out["_gg"] = (dosage * dosage).sum(axis=1)
-        products = dosage @ x
-        if sparse and not marked.any():
-            seen = np.zeros_like(products)
-        else:
-            mask = np.zeros((len(left), tile))
-            mask[rows[marked], at[marked]] = 1.0
-            seen = mask @ x
-        columns = {f"_g_{c}": products[:, i] for i, c in enumerate(others)}
-        columns |= {f"_m_{c}": seen[:, i] for i, c in enumerate(others)}
-        return pd.concat([out, pd.DataFrame(columns)], axis=1)
-
-    sums = ["_g", "_gg", *[f"_g_{c}" for c in others], *[f"_m_{c}" for c in others]]
-    dtypes = {"variant_id": "int64", "_called": "int64", "_cells": "int64"} | {c: "float64" for c in sums}
-    schema = ", ".join(f"`{c}` {'long' if t == 'int64' else 'double'}" for c, t in dtypes.items())
-    left = tiles.select(
+    ids = F.col("subject_ids")
+    gapless = F.element_at(ids, -1) - F.element_at(ids, 1) + 1 == F.size(ids)
+    return tiles.filter(F.size("dosages") > 0).select(
         F.col("variant_id").cast("long").alias("variant_id"),
-        "tile",
-        "subject_ids",
-        F.col("dosages").cast("array<double>").alias("dosages"),
-        F.pmod(F.xxhash64("variant_id"), F.lit(groups)).cast("int").alias("_group"),
+        F.col("tile").cast("long").alias("tile"),
+        (F.element_at(ids, 1) % tile).cast("int").alias("first"),
+        F.when(~gapless, F.transform(ids, lambda i: (i % tile).cast("int"))).alias("places"),
+        "dosages",
     )
-    right = design.select(
-        "subject_id",
-        *others,
-        F.floor(F.col("subject_id") / tile).cast("long").alias("tile"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
+
+
+@dataclass
+class TileSums:
+    """Sums per variant over the listed cells; gx and seen have one column per design column."""
+
+    variant: np.ndarray
+    called: np.ndarray
+    cells: np.ndarray
+    g: np.ndarray
+    gg: np.ndarray
+    gx: np.ndarray
+    seen: np.ndarray
+
+    SCHEMA = "variant_id long, called double, cells double, g double, gg double, gx array<double>, seen array<double>"
+
+    def to_arrow(self) -> pa.Table:
+        def lists(matrix: np.ndarray) -> pa.Array:
+            offsets = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
+
+        flat = [pa.array(v.astype(float)) for v in (self.called, self.cells, self.g, self.gg)]
+        names = ["variant_id", "called", "cells", "g", "gg", "gx", "seen"]
+        return pa.Table.from_arrays([pa.array(self.variant), *flat, lists(self.gx), lists(self.seen)], names=names)
+
+    @staticmethod
+    def added(rows: pa.Table) -> "TileSums":
+        """Sums over the subject tiles of every variant."""
+        variant, at = np.unique(rows["variant_id"].to_numpy(), return_inverse=True)
+
+        def add(name: str) -> np.ndarray:
+            column = rows[name].combine_chunks()
+            parts = np.asarray(column.flatten()).reshape(len(rows), -1) if name in ("gx", "seen") else column.to_numpy()
+            out = np.zeros((len(variant), *parts.shape[1:]))
+            np.add.at(out, at, parts)
+            return out
+
+        return TileSums(variant, *[add(c) for c in ("called", "cells", "g", "gg", "gx", "seen")])
+
+
+def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool) -> TileSums:
+    """Sums of the variants of one subject tile, x being its design rows."""
+    tile, n = len(x), len(rows)
+    lists = rows["dosages"].combine_chunks()
+    flat = lists.flatten()
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    valid = np.asarray(flat.is_valid())
+    value = np.asarray(flat.fill_null(0)).astype(float)
+    # A dosage stored as not-a-number is a missing call like a null.
+    valid &= ~np.isnan(value)
+    value = np.where(valid, value, 0.0)
+    first = rows["first"].to_numpy()
+    places = rows["places"].combine_chunks()
+    dosage, listed, called = np.zeros((n, tile)), np.zeros((n, tile), bool), np.zeros((n, tile), bool)
+    if places.null_count == n and (counts == counts[0]).all() and (first == first[0]).all():
+        columns, shape = slice(first[0], first[0] + counts[0]), (n, counts[0])
+        dosage[:, columns], listed[:, columns] = value.reshape(shape), True
+        called[:, columns] = valid.reshape(shape)
+    else:
+        row = np.repeat(np.arange(n), counts)
+        start = np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(first, counts) + np.arange(len(row)) - start
+        scattered = np.repeat(np.asarray(places.is_valid()), counts)
+        at[scattered] = np.asarray(places.flatten())
+        dosage[row, at], listed[row, at], called[row, at] = value, True, valid
+    listed &= present
+    called &= present
+    dosage *= present
+    marked = listed & ~called if sparse else called
+    if not marked.any():
+        seen = np.zeros((n, x.shape[1]))
+    elif (marked == present).all():
+        # Nothing missing: the marked sums are the tile's column sums.
+        seen = np.broadcast_to(x.sum(axis=0), (n, x.shape[1]))
+    else:
+        seen = marked.astype(float) @ x
+    squares = np.einsum("ij,ij->i", dosage, dosage)
+    return TileSums(
+        rows["variant_id"].to_numpy(), called.sum(axis=1), listed.sum(axis=1), dosage.sum(axis=1), squares, dosage @ x, seen
     )
-    parts = left.groupBy("tile", "_group").cogroup(right.groupBy("tile", "_group")).applyInPandas(multiply, schema)
+
+
+@dataclass
+class TileModel:
+    """What a task needs to test the variants it has summed: numbers per covariate and trait only."""
+
+    n: int
+    k: int
+    traits: list[str]
+    means: np.ndarray
+    inverse: np.ndarray
+    cross: np.ndarray
+    rest: np.ndarray
+    sparse: bool
+    maf: float
+    threshold: float | None
+
+    SCHEMA = "variant_id long, trait string, af double, beta double, se double, t_stat double, df long"
+
+    def test(self, sums: TileSums) -> pa.Table:
+        """Results of every variant and trait, missing calls filled with the variant mean.
+
+        The design is centred, so its totals over all subjects are zero.
+        """
+        with np.errstate(divide="ignore", invalid="ignore"):
+            missing = sums.cells - sums.called if self.sparse else self.n - sums.called
+            mean = sums.g / (self.n - missing)
+            products = sums.gx + mean[:, None] * (sums.seen if self.sparse else -sums.seen)
+            gg = sums.gg + missing * mean**2
+            af = mean / 2
+            gc = np.column_stack([mean * self.n, products[:, : self.k]])
+            u = gc @ self.inverse
+            s = gg - (u * gc).sum(axis=1)
+            s[~(s > gg * SINGULAR)] = np.nan
+            beta = (products[:, self.k :] - u @ self.cross) / s[:, None]
+            df = self.n - self.k - 2
+            se = np.sqrt(np.abs(self.rest - beta**2 * s[:, None]) / (df * s[:, None]))
+            t = beta / se
+        t[se == 0] = np.nan
+        keep = np.ones(t.shape, bool)
+        if self.maf:
+            keep &= ((af > self.maf) & (af < 1 - self.maf) & (af != 0.5))[:, None]
+        if self.threshold is not None:
+            keep &= np.abs(t) > self.threshold
+        row, column = np.nonzero(keep)
+        numbers = [pa.array(v, from_pandas=True) for v in (af[row], beta[keep], se[keep], t[keep])]
+        names = pa.array(self.traits, pa.string()).take(pa.array(column))
+        columns = [pa.array(sums.variant[row]), names, *numbers, pa.array(np.full(len(row), df))]
+        return pa.Table.from_arrays(columns, names=["variant_id", "trait", "af", "beta", "se", "t_stat", "df"])
+
+
+def _matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The design columns x of some rows."""
+    column = rows["x"]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(len(rows), -1)
+
+
+def _design_products(design: DataFrame, k: int, means: np.ndarray | None) -> np.ndarray:
+    """Without means the column sums; with them C'[C, Y] and y'y of the centred columns, flattened.
+
+    A task folds its rows into one row of sums, so the driver adds as many short rows as there are tasks.
+    """
+
+    def fold(batches):
+        total = 0.0
+        for batch in batches:
+            x = _matrix(batch)
+            if means is None:
+                part = np.append(x.sum(axis=0), len(x))
+            else:
+                x = x - means
+                part = np.append((x[:, :k].T @ x).ravel(), np.einsum("ij,ij->j", x[:, k:], x[:, k:]))
+            total = total + part
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return sum(np.array(r.v) for r in design.mapInArrow(fold, "v array<double>").collect())
+
+
+def _tile_model(design: DataFrame, covs: Sequence[str], traits: Sequence[str], **options) -> TileModel:
+    k, p = len(covs), len(traits)
+    sums = _design_products(design, k, None)
+    n, means = int(sums[-1]), sums[:-1] / sums[-1]
+    flat = _design_products(design, k, means)
+    products, yy = flat[: k * (k + p)].reshape(k, k + p), flat[k * (k + p) :]
+    # Centred columns are orthogonal to the intercept.
+    gram, cross = np.zeros((k + 1, k + 1)), np.zeros((k + 1, p))
+    gram[0, 0], gram[1:, 1:], cross[1:] = n, products[:, :k], products[:, k:]
+    inverse = np.linalg.inv(gram)
+    rest = yy - np.einsum("ij,ij->j", cross, inverse @ cross)
+    return TileModel(n, k, list(traits), means, inverse, cross, rest, **options)
+
+
+def _design_tile(ids: np.ndarray, values: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(design rows by place in the tile, which places are taken)."""
+    x, present = np.zeros((tile, values.shape[1])), np.zeros(tile, bool)
+    x[ids % tile], present[ids % tile] = values, True
+    return x, present
+
+
+def _slices(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool):
+    for start in range(0, len(rows), ROWS_PER_PRODUCT):
+        yield _block_products(rows.slice(start, ROWS_PER_PRODUCT), x, present, sparse)
+
+
+def _tile_pass(packed: DataFrame, design: DataFrame, model: TileModel, tile: int, n_variants: int, per_group: int) -> DataFrame:
+    """Results of one pass over the tiles for the traits of `model`; `design` is (subject_id, x)."""
+    means, sparse, width = model.means, model.sparse, len(model.means)
+    last = design.agg(F.min("subject_id"), F.max("subject_id")).first()
+    one_tile = last[0] // tile == last[1] // tile
+    schema = TileModel.SCHEMA if one_tile else TileSums.SCHEMA
+
+    def finish(sums: TileSums) -> pa.Table:
+        return model.test(sums) if one_tile else sums.to_arrow()
+
+    if model.n * (width + 1) * 8 <= BROADCAST_BYTES:
+        table = design.toArrow()
+        order = np.argsort(table["subject_id"].to_numpy(), kind="stable")
+        ids, values = table["subject_id"].to_numpy()[order], _matrix(table)[order] - means
+        shared = design.sparkSession.sparkContext.broadcast((ids, values))
+
+        def by_batch(batches):
+            ids, values = shared.value
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                tile_of = rows["tile"].to_numpy()
+                for t in np.unique(tile_of):
+                    low, high = np.searchsorted(ids, [t * tile, (t + 1) * tile])
+                    if low == high:
+                        continue
+                    x, present = _design_tile(ids[low:high], values[low:high], tile)
+                    for sums in _slices(rows.filter(pa.array(tile_of == t)), x, present, sparse):
+                        yield from finish(sums).to_batches()
+
+        parts = packed.mapInArrow(by_batch, schema)
+    else:
+        empty = (model.test if one_tile else TileSums.to_arrow)(
+            TileSums(np.zeros(0, int), *[np.zeros(0)] * 4, np.zeros((0, width)), np.zeros((0, width)))
+        )
+
+        def by_group(left: pa.Table, right: pa.Table) -> pa.Table:
+            if len(left) == 0 or len(right) == 0:
+                return empty
+            x, present = _design_tile(right["subject_id"].to_numpy(), _matrix(right) - means, tile)
+            return pa.concat_tables(finish(sums) for sums in _slices(left, x, present, sparse))
+
+        groups = max(1, -(-n_variants // per_group))
+        left = packed.withColumn("_group", F.pmod(F.xxhash64("variant_id"), F.lit(groups)).cast("int"))
+        right = design.select(
+            "subject_id",
+            "x",
+            F.floor(F.col("subject_id") / tile).cast("long").alias("tile"),
+            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
+        )
+        parts = left.groupBy("tile", "_group").cogroup(right.groupBy("tile", "_group")).applyInArrow(by_group, schema)
+    if one_tile:
+        return parts
+    # A handful of variants per group: their sums over all subject tiles are a few megabytes.
+    groups = max(1, n_variants // VARIANTS_PER_SOLVE)
     return (
-        parts.groupBy("variant_id").agg(*[F.sum(c).alias(c) for c in ["_called", "_cells", *sums]])
-        .withColumn("variant_id", F.col("variant_id").cast(tiles.schema["variant_id"].dataType))
+        parts.groupBy(F.pmod(F.xxhash64("variant_id"), F.lit(groups)))
+        .applyInArrow(lambda rows: model.test(TileSums.added(rows)), TileModel.SCHEMA)
     )
 
 
@@ -589,25 +790,28 @@ def gwas_tiles(
     traits: Sequence[str],
     tile: int,
     maf: float = 0.0,
+    threshold: float | None = None,
     sparse: bool = False,
+    n_variants: int | None = None,
     variants_per_group: int = 4096,
-    traits_per_pass: int = 256,
+    traits_per_pass: int = 1024,
 ) -> DataFrame:
-    """`gwas` over the dense tiled layout (variant_id, tile, subject_ids, dosages).
+    """`gwas` over the tiled layout (variant_id, tile, subject_ids, dosages) of dense matrices.
 
-    Traits are handled `traits_per_pass` at a time, which bounds the width of a task.
+    If the design is small (its row count times its width is checked) every task gets it
+    and the genotypes do not move. Otherwise tiles and design rows meet in groups of one
+    subject tile by one part of the variants, whose memory the sizes fix. Traits are
+    handled `traits_per_pass` at a time; `n_variants` saves counting them.
     """
-    columns = list(dict.fromkeys([*covs, *traits]))
-    aligned = centred(materialise(design.select("subject_id", *columns).dropna()), columns)
-    groups = max(1, -(-tiles.select("variant_id").distinct().count() // variants_per_group))
+    if n_variants is None:
+        n_variants = tiles.select("variant_id").distinct().count()
+    packed, kind = _packed(tiles, tile), tiles.schema["variant_id"].dataType
     passes = []
     for first in range(0, len(traits), traits_per_pass):
         some = list(traits[first : first + traits_per_pass])
-        used = aligned.select("subject_id", *dict.fromkeys([*covs, *some]))
-        model = read_model(cohort_stats(used, covs, some), covs, some)
-        others = list(dict.fromkeys([*covs, *some]))
-        variants = _impute_sums(tile_sums(tiles, used, others, tile, groups, sparse), used, covs, some, [], sparse)
-        if maf:
-            variants = variants.filter(frequency_kept(F.col("g") / (2 * F.col("n")), maf))
-        passes.append(assoc_from_stats(variants, model))
-    return merge_stats(passes)
+        x = F.array(*[f"`{c}`" for c in [*covs, *some]]).cast("array<double>")
+        rows = design.select("subject_id", x.alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
+        rows = materialise(rows)
+        model = _tile_model(rows, covs, some, sparse=sparse, maf=maf, threshold=threshold)
+        passes.append(_tile_pass(packed, rows, model, tile, n_variants, variants_per_group))
+    return merge_stats(passes).withColumn("variant_id", F.col("variant_id").cast(kind))

@@ -124,11 +124,18 @@ def test_gwas_equals_least_squares(spark, covs, missing):
         assert r.df == 60 - covs - 2
 
 
-def test_tiles_equal_long_path(spark):
-    _, _, _, geno, design = simulated(spark, missing=0.1)
-    tiles = genotype.to_variant_major(geno, tile=16)
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("width", [16, 64])
+@pytest.mark.parametrize("missing", [0.0, 0.1])
+def test_tiles_equal_long_path(spark, monkeypatch, limit, width, missing):
+    """Both ways of bringing tiles and design together, with subjects on one side only."""
+    monkeypatch.setattr(a, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(a, "ROWS_PER_PRODUCT", 3)
+    _, _, _, geno, design = simulated(spark, missing=missing)
+    design = design.filter("subject_id <> 7")
+    tiles = genotype.to_variant_major(geno, tile=width)
     left = a.gwas(geno, design, ["c0", "c1"], ["y0", "y1"]).toPandas().sort_values(["variant_id", "trait"])
-    right = a.gwas_tiles(tiles, design, ["c0", "c1"], ["y0", "y1"], tile=16, variants_per_group=5, traits_per_pass=1).toPandas()
+    right = a.gwas_tiles(tiles, design, ["c0", "c1"], ["y0", "y1"], tile=width, variants_per_group=5, traits_per_pass=1).toPandas()
     right = right.sort_values(["variant_id", "trait"])
     assert np.allclose(left[["af", "beta", "se", "t_stat"]], right[["af", "beta", "se", "t_stat"]])
 
