@@ -518,6 +518,8 @@ def masked_cross(geno: DataFrame, traits: DataFrame, trait_names: Sequence[str])
 BROADCAST_BYTES = 128 << 20
 # Variants multiplied at once, which bounds the dense working matrix.
 ROWS_PER_PRODUCT = 512
+# A matrix up to this size is spread over all cores first; a larger one has enough file splits.
+SPREAD_CELLS = 1 << 30
 # Variants whose sums over all subject tiles are added up and tested together.
 VARIANTS_PER_SOLVE = 64
 
@@ -602,9 +604,12 @@ def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse:
         scattered = np.repeat(np.asarray(places.is_valid()), counts)
         at[scattered] = np.asarray(places.flatten())
         dosage[row, at], listed[row, at], called[row, at] = value, True, valid
-    listed &= present
-    called &= present
-    dosage *= present
+    # Only the taken stretch of the tile takes part in the products.
+    last = int(np.flatnonzero(present)[-1]) + 1
+    x, present, dosage = x[:last], present[:last], dosage[:, :last]
+    listed, called = listed[:, :last] & present, called[:, :last] & present
+    if not present.all():
+        dosage = dosage * present
     marked = listed & ~called if sparse else called
     if not marked.any():
         seen = np.zeros((n, x.shape[1]))
@@ -752,6 +757,8 @@ def _tile_pass(packed: DataFrame, design: DataFrame, model: TileModel, tile: int
                     for sums in _slices(rows.filter(pa.array(tile_of == t)), x, present, sparse):
                         yield from finish(sums).to_batches()
 
+        if n_variants * model.n <= SPREAD_CELLS:
+            packed = packed.repartition(2 * design.sparkSession.sparkContext.defaultParallelism, "variant_id")
         parts = packed.mapInArrow(by_batch, schema)
     else:
         empty = (model.test if one_tile else TileSums.to_arrow)(
@@ -783,6 +790,13 @@ def _tile_pass(packed: DataFrame, design: DataFrame, model: TileModel, tile: int
     )
 
 
+def pack_design(design: DataFrame, covs: Sequence[str], traits: Sequence[str]) -> DataFrame:
+    """(subject_id, x): covariates and traits of complete subjects as one array, written once for many runs."""
+    x = F.array(*[f"`{c}`" for c in [*covs, *traits]]).cast("array<double>")
+    rows = design.select("subject_id", x.alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
+    return materialise(rows)
+
+
 def gwas_tiles(
     tiles: DataFrame,
     design: DataFrame,
@@ -801,17 +815,20 @@ def gwas_tiles(
     If the design is small (its row count times its width is checked) every task gets it
     and the genotypes do not move. Otherwise tiles and design rows meet in groups of one
     subject tile by one part of the variants, whose memory the sizes fix. Traits are
-    handled `traits_per_pass` at a time; `n_variants` saves counting them.
+    handled `traits_per_pass` at a time; `n_variants` saves counting them. `design` is wide
+    or already packed by `pack_design` in the order of `covs` and `traits`.
     """
+    rows = design if design.columns == ["subject_id", "x"] else pack_design(design, covs, traits)
     if n_variants is None:
         n_variants = tiles.select("variant_id").distinct().count()
     packed, kind = _packed(tiles, tile), tiles.schema["variant_id"].dataType
     passes = []
     for first in range(0, len(traits), traits_per_pass):
         some = list(traits[first : first + traits_per_pass])
-        x = F.array(*[f"`{c}`" for c in [*covs, *some]]).cast("array<double>")
-        rows = design.select("subject_id", x.alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
-        rows = materialise(rows)
-        model = _tile_model(rows, covs, some, sparse=sparse, maf=maf, threshold=threshold)
-        passes.append(_tile_pass(packed, rows, model, tile, n_variants, variants_per_group))
+        used = rows
+        if len(some) < len(traits):
+            x = F.concat(F.slice("x", 1, len(covs)), F.slice("x", len(covs) + first + 1, len(some)))
+            used = rows.select("subject_id", x.alias("x"))
+        model = _tile_model(used, covs, some, sparse=sparse, maf=maf, threshold=threshold)
+        passes.append(_tile_pass(packed, used, model, tile, n_variants, variants_per_group))
     return merge_stats(passes).withColumn("variant_id", F.col("variant_id").cast(kind))

@@ -12,38 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MATCH_KEYS = {"pos": ["chr", "bp"], "rsid": ["variant_id"]}
+MATCH_COLUMNS = {k: [*dict.fromkeys([*v, "chr", "bp", "allele1", "allele2"])] for k, v in MATCH_KEYS.items()}
 
 
-def candidates(variants: DataFrame, reference: DataFrame, on: str = "pos") -> DataFrame:
-    """Study and reference rows with the same key and the same alleles, straight (1) or swapped (-1)."""
-    keys = MATCH_KEYS[on]
-    ref = reference.select(*[F.col(c).alias(f"ref_{c}") for c in ("variant_id", "chr", "bp", "allele1", "allele2")])
-    same_key = [F.col(k) == F.col(f"ref_{k}") for k in keys]
-    straight = (F.col("allele1") == F.col("ref_allele1")) & (F.col("allele2") == F.col("ref_allele2"))
-    swapped = (F.col("allele1") == F.col("ref_allele2")) & (F.col("allele2") == F.col("ref_allele1"))
-    condition = reduce(lambda a, b: a & b, [*same_key, straight | swapped])
-    return variants.join(ref, condition).withColumn("flip", F.when(straight, 1).otherwise(-1))
+def orientations(variants: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and allele pair a study can offer: (keys, allele1, allele2, order, matched_id).
+
+    A study variant offers its alleles straight (order 0) and swapped (order 1). Copies
+    collapse to the preferred one before any join, so a position listed very often on
+    both sides does not multiply.
+    """
+    ways = F.array(
+        F.struct("allele1", "allele2", F.lit(0).alias("order")),
+        F.struct(F.col("allele2").alias("allele1"), F.col("allele1").alias("allele2"), F.lit(1).alias("order")),
+    )
+    return (
+        variants.select(*keys, F.col("variant_id").alias("matched_id"), F.explode(ways).alias("w"))
+        .groupBy(*keys, "w.allele1", "w.allele2")
+        .agg(F.min(F.struct("w.order", "matched_id")).alias("best"))
+        .select(*keys, "allele1", "allele2", "best.*")
+    )
 
 
 def harmonise(variants: DataFrame, reference: DataFrame, on: str = "pos") -> DataFrame:
     """One study variant per matched reference row with its flip sign.
 
     A straight match wins over a swapped one; remaining ties go to the smallest id.
-    The choice is a grouped minimum, which combines before the exchange.
     """
-    # max_by/min over one struct: straight (flip 1) sorts before swapped.
-    best = F.min(F.struct((-F.col("flip")).alias("order"), "variant_id")).alias("_b")
-    return (
-        candidates(variants, reference, on)
-        .groupBy("ref_variant_id", "ref_chr", "ref_bp", "ref_allele1", "ref_allele2")
-        .agg(best)
-        .select(
-            F.col("_b.variant_id").alias("variant_id"),
-            F.col("ref_variant_id").alias("reference_id"),
-            F.col("ref_chr").alias("chr"),
-            F.col("ref_bp").alias("bp"),
-            (-F.col("_b.order")).cast("int").alias("flip"),
-        )
+    keys = MATCH_KEYS[on]
+    ref = reference.select(F.col("variant_id").alias("reference_id"), *MATCH_COLUMNS[on])
+    return ref.join(orientations(variants, keys), [*keys, "allele1", "allele2"]).select(
+        F.col("matched_id").alias("variant_id"),
+        "reference_id",
+        "chr",
+        "bp",
+        F.when(F.col("order") == 0, 1).otherwise(-1).alias("flip"),
     )
 
 

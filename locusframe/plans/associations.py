@@ -11,7 +11,7 @@ from locusframe.operators import association as a
 from locusframe.operators import genotype as g
 from locusframe.plans.registry import query, r6, sql6, sql_order
 from locusframe.plans.views import Views
-from locusframe.session import materialise, shared_folder
+from locusframe.session import intermediates, materialise
 from locusframe.sources import sinks
 from locusframe.streaming import statistics
 
@@ -244,7 +244,7 @@ def meta_from_shards(v: Views) -> DataFrame:
     """Statistics computed by two workers over disjoint variants, appended, saved and loaded."""
     halves = [v.genotype.filter("variant_id % 2 = 0"), v.genotype.filter("variant_id % 2 = 1")]
     parts = [a.partial_derivatives(half, v.subject, ["cov_1"], PHENOTYPES) for half in halves]
-    path = f"{shared_folder(v.spark).rstrip('/')}/locusframe/{uuid.uuid4().hex}"
+    path = f"{intermediates(v.spark)}/{uuid.uuid4().hex}"
     sinks.save_stats(parts[0][0], a.merge_stats([p[1] for p in parts]), path)
     cohort, variants = sinks.load_stats(v.spark, path)
     return rounded(a.meta_analyse(cohort, variants, ["cov_1"], PHENOTYPES))
@@ -312,7 +312,7 @@ def masked_cross_products(v: Views) -> DataFrame:
 def statistics_stream(v: Views) -> DataFrame:
     """Statistics pooled by a stream over files that arrive study by study."""
     _, variants = a.partial_derivatives(v.genotype, v.subject, ["cov_1"], ["label_reg"])
-    root = f"{shared_folder(v.spark).rstrip('/')}/locusframe/{uuid.uuid4().hex}"
+    root = f"{intermediates(v.spark)}/{uuid.uuid4().hex}"
     variants.repartition("study").write.parquet(f"{root}/in")
     arriving = statistics.arriving_statistics(v.spark, f"{root}/in", variants.schema)
     statistics.pool_arrived(arriving, f"{root}/out", f"{root}/state")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import interpret as i
 from locusframe.operators import network as n
-from locusframe.operators.cohort import top_hits
+from locusframe.operators.cohort import rank_slice, top_hits
 from locusframe.plans.networks import Z0, small_network
 from locusframe.plans.registry import query, r9, sql9
 from locusframe.plans.views import Views
@@ -228,9 +228,11 @@ def attributions(v: Views) -> DataFrame:
 
 @query()
 def perturbation_effects(v: Views) -> DataFrame:
-    """Change of all attributions when a variant is set to 0, 1 and 2."""
+    """Change of all attributions when one of the five top-ranked variants is set to 0, 1 and 2."""
     cases, background = cases_and_background(v)
-    return i.dfim(small_network(v), v.genotype, cases, background, v.genotype.select("variant_id").distinct())
+    net = small_network(v)
+    ranked = i.attributions(net, v.genotype, cases, background)
+    return i.dfim(net, v.genotype, cases, background, rank_slice(ranked, "attribution", "variant_id", 0, 5))
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.operators import genotype as g
 from locusframe.plans.registry import query, r6, sql6
 from locusframe.plans.views import Views
-from locusframe.session import shared_folder
+from locusframe.session import intermediates
 from locusframe.sources import sinks
 
 
@@ -152,6 +152,6 @@ def conversion_audit(v: Views) -> DataFrame:
 
 @query("genotype_sparse", "SELECT subject_id, variant_id, dosage FROM genotype_sparse")
 def genotype_written_in_tiles(v: Views) -> DataFrame:
-    path = f"{shared_folder(v.spark).rstrip('/')}/locusframe/{uuid.uuid4().hex}"
+    path = f"{intermediates(v.spark)}/{uuid.uuid4().hex}"
     sinks.write_genotype(v.genotype_sparse, path, layout="subject", tile=512)
     return g.from_tiles(v.spark.read.parquet(path)).select("subject_id", "variant_id", "dosage")

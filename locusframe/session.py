@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import locusframe
+
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,7 +23,11 @@ ADAPTIVE = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Turn on adaptive execution: run-time broadcast by measured size, skew splitting."""
+    """Turn on adaptive execution: run-time broadcast by measured size, skew splitting.
+
+    Task functions of this package travel by value, so workers need not have it installed.
+    """
+    cloudpickle.register_pickle_by_value(locusframe)
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
     return spark
@@ -42,6 +49,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def intermediates(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/locusframe/{spark.sparkContext.applicationId}"
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames built on them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -49,6 +67,6 @@ def materialise(df: DataFrame) -> DataFrame:
     partition-dependent expressions such as spark_partition_id().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/locusframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{intermediates(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

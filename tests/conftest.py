@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from locusframe.session import tune
+from locusframe.session import clear_intermediates, tune
 
 
 @pytest.fixture(scope="session")
@@ -20,4 +20,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
+    clear_intermediates(session)
     session.stop()

@@ -218,6 +218,8 @@ def test_straight_match_wins_over_swapped(spark):
     ref = spark.createDataFrame([("r1", 1, 10, "A", "C"), ("r2", 1, 20, "G", "T"), ("r3", 1, 30, "A", "T")], columns)
     found = {r.reference_id: (r.variant_id, r.flip) for r in harmonise.harmonise(study, ref).collect()}
     assert found == {"r1": ("b", 1), "r2": ("c", -1)}
+    copies = harmonise.harmonise(study.unionByName(study), ref.unionByName(ref))
+    assert copies.count() == 4 and copies.distinct().count() == 2
     assert sorted(r.variant_id for r in harmonise.mismatches(study, ref).collect()) == ["a", "d"]
 
 
