@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.functions.arrays import combined, flat_lists, to_lists
 from locusframe.functions.tails import p_value
 from locusframe.operators.genotype import frequency_kept
 from locusframe.operators.ordering import number_rows, seeded_order
@@ -262,8 +263,8 @@ def assoc_from_stats(variants: DataFrame, model: Model) -> DataFrame:
     tests = (
         with_projection(variants, model)
         .select("variant_id", "n", "g", "s", *[f"u_{i}" for i in range(k)], F.posexplode(gys).alias("pos", "gy"))
-        # One row per trait.
-        .join(constants, "pos")
+        # One row per trait, just made from the model on the driver.
+        .join(F.broadcast(constants), "pos")
     )
     s = F.col("s")
     explained = reduce(lambda a, b: a + b, [F.col(f"u_{i}") * F.col("cross")[i] for i in range(k)])
@@ -557,8 +558,7 @@ class TileSums:
 
     def to_arrow(self) -> pa.Table:
         def lists(matrix: np.ndarray) -> pa.Array:
-            offsets = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32())
-            return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
+            return to_lists(np.full(len(matrix), matrix.shape[1]), pa.array(np.ascontiguousarray(matrix).ravel()))
 
         flat = [pa.array(v.astype(float)) for v in (self.called, self.cells, self.g, self.gg)]
         names = ["variant_id", "called", "cells", "g", "gg", "gx", "seen"]
@@ -570,7 +570,7 @@ class TileSums:
         variant, at = np.unique(rows["variant_id"].to_numpy(), return_inverse=True)
 
         def add(name: str) -> np.ndarray:
-            column = rows[name].combine_chunks()
+            column = combined(rows, name)
             parts = np.asarray(column.flatten()).reshape(len(rows), -1) if name in ("gx", "seen") else column.to_numpy()
             out = np.zeros((len(variant), *parts.shape[1:]))
             np.add.at(out, at, parts)
@@ -582,16 +582,9 @@ class TileSums:
 def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool) -> TileSums:
     """Sums of the variants of one subject tile, x being its design rows."""
     tile, n = len(x), len(rows)
-    lists = rows["dosages"].combine_chunks()
-    flat = lists.flatten()
-    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-    valid = np.asarray(flat.is_valid())
-    value = np.asarray(flat.fill_null(0)).astype(float)
-    # A dosage stored as not-a-number is a missing call like a null.
-    valid &= ~np.isnan(value)
-    value = np.where(valid, value, 0.0)
+    counts, value, valid = flat_lists(combined(rows, "dosages"))
     first = rows["first"].to_numpy()
-    places = rows["places"].combine_chunks()
+    places = combined(rows, "places")
     dosage, listed, called = np.zeros((n, tile)), np.zeros((n, tile), bool), np.zeros((n, tile), bool)
     if places.null_count == n and (counts == counts[0]).all() and (first == first[0]).all():
         columns, shape = slice(first[0], first[0] + counts[0]), (n, counts[0])
@@ -675,9 +668,7 @@ class TileModel:
 
 def _matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     """The design columns x of some rows."""
-    column = rows["x"]
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(rows), -1)
+    return np.asarray(combined(rows, "x").flatten()).reshape(len(rows), -1)
 
 
 def _design_products(design: DataFrame, k: int, means: np.ndarray | None) -> np.ndarray:

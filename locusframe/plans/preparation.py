@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import genotype as g
+from locusframe.operators import tiles as t
 from locusframe.plans.registry import query, r6, sql6
 from locusframe.plans.views import Views
 from locusframe.session import intermediates
@@ -127,6 +128,43 @@ def to_subject_major(v: Views) -> DataFrame:
     )
 
 
+@query("genotype_missing", f"""
+    SELECT variant_id, count(*) AS cells, count(dosage) AS called, {sql6('avg(dosage)')} AS mean, {sql6('avg(dosage) / 2')} AS af,
+           {sql6('stddev_pop(dosage) * sqrt(count(dosage) / count(*))')} AS std FROM genotype_missing GROUP BY variant_id""")
+def tile_variant_counts(v: Views) -> DataFrame:
+    counts = t.variant_counts(g.to_variant_major(v.genotype_missing, tile=128))
+    return counts.select("variant_id", "cells", "called", *[r6(c).alias(c) for c in ("mean", "af", "std")])
+
+
+@query("genotype_missing", """
+    SELECT subject_id, variant_id,
+           CAST(round_even(coalesce(dosage, avg(dosage) OVER (PARTITION BY variant_id)), 0) AS INT) AS dosage FROM genotype_missing""")
+def tile_impute_mean(v: Views) -> DataFrame:
+    filled = t.impute_mean(g.to_variant_major(v.genotype_missing, tile=128))
+    cells = g.from_tiles(filled, "variant_id", "subject_id", "subject_ids")
+    return cells.select("subject_id", "variant_id", F.col("dosage").cast("int").alias("dosage"))
+
+
+@query("genotype_missing", """
+    SELECT variant_id, subject_id, CASE WHEN variant_id % 4 = 0 THEN 2 - dosage ELSE dosage END AS dosage
+    FROM genotype_missing JOIN (SELECT variant_id, avg(dosage) / 2 AS af FROM genotype_missing GROUP BY variant_id) USING (variant_id)
+    WHERE af > 0.48e0 AND af < 0.52e0 AND af <> 0.5e0""")
+def tile_filter_and_flip(v: Views) -> DataFrame:
+    kept = t.maf_filter(g.to_variant_major(v.genotype_missing, tile=128), 0.48)
+    mapping = v.genotype.select("variant_id").distinct().withColumn("flip", F.when(F.col("variant_id") % 4 == 0, -1).otherwise(1))
+    return g.from_tiles(t.flip_dosage(kept, mapping), "variant_id", "subject_id", "subject_ids")
+
+
+@query("genotype_sparse", """
+    SELECT subject_id, variant_id // 512 AS tile, string_agg(variant_id, ',' ORDER BY variant_id) AS variants,
+           string_agg(dosage, ',' ORDER BY variant_id) AS dosages FROM genotype_sparse GROUP BY 1, 2""")
+def tile_transpose(v: Views) -> DataFrame:
+    turned = t.transpose(g.to_variant_major(v.genotype_sparse, tile=512), 512)
+    return turned.select(
+        "subject_id", "tile", F.array_join("variant_ids", ",").alias("variants"), F.array_join("dosages", ",").alias("dosages")
+    )
+
+
 @query("genotype_sparse", """
     SELECT variant_id, subject_id // 512 AS tile, string_agg(subject_id, ',' ORDER BY subject_id) AS subjects,
            string_agg(dosage, ',' ORDER BY subject_id) AS dosages FROM genotype_sparse GROUP BY 1, 2""")
