@@ -36,7 +36,7 @@ KEYS = ["layer", "src", "dst"]
 
 @dataclass
 class Params:
-    """The reference defaults of a training run."""
+    """Settings of a training run; the defaults are fixed values."""
 
     learning_rate: float = 0.001
     epochs: int = 1000

@@ -219,24 +219,83 @@ def cases_and_background(v: Views) -> tuple[DataFrame, DataFrame]:
     return v.subject.filter("set_id = 3 AND label_bin = 1"), v.subject.filter("set_id = 2 AND label_bin = 0")
 
 
-@query()
+def path_sql(name: str, evaluations: str, cells: str) -> str:
+    """Attributions `name` (target, setting, subject_id, variant_id, value) of the evaluations' first sums.
+
+    Midpoints of eight steps from the background; slopes by the chain rule over the three layers.
+    """
+    keys = "target, setting, subject_id"
+    return f"""
+    {name}_p AS (SELECT {keys}, a, e.node, zb.z + a * (e.z - zb.z) AS z FROM ({evaluations}) e JOIN zb ON zb.node = e.node,
+                 (SELECT (unnest(range(8)) + 0.5e0) / 8 AS a)),
+    {name}_1 AS (SELECT {keys}, a, dst AS node, sum(tanh(z) * w) + max(b) AS z FROM {name}_p p JOIN small_weights s ON s.layer = 1 AND src = p.node
+                 JOIN small_bias b ON b.layer = 1 AND b.node = dst GROUP BY {keys}, a, dst),
+    {name}_2 AS (SELECT {keys}, a, sum(tanh(z) * w) + max(b) AS z FROM {name}_1 p JOIN small_weights s ON s.layer = 2 AND src = p.node
+                 JOIN small_bias b ON b.layer = 2 AND b.node = dst GROUP BY {keys}, a),
+    {name}_e AS (SELECT {keys}, a, o.node, exp(-t.z) / (1 + exp(-t.z)) ** 2 * w * (1 - tanh(o.z) ** 2) AS d
+                 FROM {name}_1 o JOIN {name}_2 t USING ({keys}, a) JOIN small_weights s ON s.layer = 2 AND src = o.node),
+    {name}_d AS (SELECT {keys}, node, avg(d) AS d FROM (
+                     SELECT {keys}, a, p.node, sum(e.d * w) * (1 - tanh(max(p.z)) ** 2) AS d FROM {name}_p p JOIN small_weights s ON s.layer = 1 AND src = p.node
+                     JOIN (SELECT {keys}, a, node AS dst, d FROM {name}_e) e USING ({keys}, a, dst) GROUP BY {keys}, a, p.node)
+                 GROUP BY {keys}, node),
+    {name} AS (SELECT {keys}, variant_id, sum((x - base) * w * d) AS value FROM ({cells}) JOIN bg USING (variant_id)
+               JOIN small_weights s ON s.layer = 0 AND src = variant_id JOIN {name}_d USING ({keys}) WHERE {name}_d.node = dst
+               GROUP BY {keys}, variant_id)"""
+
+
+ATTRIBUTION_SQL = Z0 + """,
+    cases AS (SELECT subject_id FROM subject WHERE set_id = 3 AND label_bin = 1),
+    bg AS (SELECT variant_id, avg(dosage) AS base FROM genotype JOIN subject USING (subject_id) WHERE set_id = 2 AND label_bin = 0 GROUP BY variant_id),
+    zb AS (SELECT dst AS node, sum(base * w) + max(b) AS z FROM bg JOIN small_weights s ON s.layer = 0 AND src = variant_id
+           JOIN small_bias b ON b.layer = 0 AND b.node = dst GROUP BY dst),""" + path_sql(
+    "plain",
+    "SELECT 0 AS target, 0 AS setting, subject_id, node, z FROM z0 JOIN cases USING (subject_id)",
+    "SELECT 0 AS target, 0 AS setting, subject_id, variant_id, dosage AS x FROM genotype JOIN cases USING (subject_id)",
+) + """,
+    attr AS (SELECT variant_id, max(abs(value)) AS attribution FROM plain GROUP BY variant_id),
+    ranked AS (SELECT variant_id, row_number() OVER (ORDER BY attribution DESC, variant_id) - 1 AS rank FROM attr)"""
+
+
+def perturbed_sql(targets: int, settings: str) -> str:
+    """`moved`: attributions with each of the first ranked variants set to each value."""
+    chosen = f"(SELECT variant_id AS target FROM ranked WHERE rank < {targets}), (SELECT unnest([{settings}]) AS setting)"
+    return path_sql(
+        "moved",
+        f"""SELECT target, setting, z0.subject_id, z0.node, z + CASE WHEN dst = z0.node THEN (setting - dosage) * w ELSE 0 END AS z
+            FROM {chosen}, z0 JOIN cases USING (subject_id) JOIN genotype g ON g.subject_id = z0.subject_id
+            JOIN small_weights s ON s.layer = 0 AND src = g.variant_id WHERE g.variant_id = target""",
+        f"""SELECT target, setting, subject_id, variant_id, CASE WHEN variant_id = target THEN setting ELSE dosage END AS x
+            FROM {chosen}, genotype JOIN cases USING (subject_id)""",
+    )
+
+
+@query("genotype small_weights small_bias subject", f"WITH {ATTRIBUTION_SQL} SELECT variant_id, {sql9('attribution')} AS attribution FROM attr")
 def attributions(v: Views) -> DataFrame:
     """Largest attribution of every variant over the test cases."""
     cases, background = cases_and_background(v)
-    return i.attributions(small_network(v), v.genotype, cases, background)
+    return rounded(i.attributions(small_network(v), v.genotype, cases, background), "attribution")
 
 
-@query()
+@query("genotype small_weights small_bias subject", f"""WITH {ATTRIBUTION_SQL}, {perturbed_sql(5, '0, 1, 2')},
+    pairs AS (SELECT a.target, a.variant_id, avg(abs(a.value - b.value)) AS change FROM moved a JOIN moved b USING (target, subject_id, variant_id)
+              WHERE a.setting < b.setting GROUP BY a.target, a.variant_id, a.setting, b.setting),
+    change AS (SELECT target, variant_id, max(change) AS change FROM pairs GROUP BY target, variant_id),
+    other AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY change DESC, variant_id) AS rn FROM change WHERE variant_id <> target)
+    SELECT c.target, {sql9('c.change')} AS own, {sql9('o.change')} AS other, o.variant_id AS other_variant
+    FROM change c JOIN other o ON o.target = c.target AND rn = 1 WHERE c.variant_id = c.target""")
 def perturbation_effects(v: Views) -> DataFrame:
     """Change of all attributions when one of the five top-ranked variants is set to 0, 1 and 2."""
     cases, background = cases_and_background(v)
     net = small_network(v)
     ranked = i.attributions(net, v.genotype, cases, background)
-    return i.dfim(net, v.genotype, cases, background, rank_slice(ranked, "attribution", "variant_id", 0, 5))
+    chosen = rank_slice(ranked, "attribution", "variant_id", 0, 5)
+    return rounded(i.dfim(net, v.genotype, cases, background, chosen), "own", "other")
 
 
-@query()
+@query("genotype small_weights small_bias subject", f"""WITH {ATTRIBUTION_SQL}, {perturbed_sql(3, '0, 2')}
+    SELECT a.target, a.variant_id, {sql9('max(abs(b.value - a.value) / 2)')} AS interaction FROM moved a JOIN moved b USING (target, subject_id, variant_id)
+    WHERE a.setting = 0 AND b.setting = 2 GROUP BY a.target, a.variant_id""")
 def path_interactions(v: Views) -> DataFrame:
     """Interactions of the three top-ranked variants with all others."""
     cases, background = cases_and_background(v)
-    return i.path_interactions(small_network(v), v.genotype, cases, background, 0, 3)
+    return rounded(i.path_interactions(small_network(v), v.genotype, cases, background, 0, 3), "interaction")

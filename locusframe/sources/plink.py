@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,16 @@ def same_individuals(left: DataFrame, right: DataFrame) -> bool:
     columns = ["subject_row", "family", "individual"]
     a, b = left.select(*columns), right.select(*columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def read_filesets(spark: SparkSession, prefixes: list[str], tile: int = TILE) -> DataFrame:
+    """Tiles of several filesets of the same individuals, their variants numbered one after the other."""
+    individuals = read_fam(spark, f"{prefixes[0]}.fam")
+    parts, offset = [], 0
+    for prefix in prefixes:
+        if prefix != prefixes[0] and not same_individuals(individuals, read_fam(spark, f"{prefix}.fam")):
+            raise ValueError(f"{prefix} lists other individuals than {prefixes[0]}")
+        tiles = read_bed(spark, prefix, tile)
+        parts.append(tiles.withColumn("variant_id", F.col("variant_id") + offset))
+        offset += spark.read.text(f"{prefix}.bim").filter(F.length(F.trim("value")) > 0).count()
+    return reduce(DataFrame.unionByName, parts)

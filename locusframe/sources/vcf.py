@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.operators.genotype import TILE
 from locusframe.operators.ordering import number_rows
 from locusframe.sources.lines import read_lines
 
@@ -80,3 +81,21 @@ def read_vcf_dosage(spark: SparkSession, path: str | list[str], field: str | Non
     return cells.select(
         "variant_id", "chr", "bp", F.col("subject_row").cast("long").alias("subject_row"), dosage_of(value, field).alias("dosage")
     )
+
+
+def read_vcf_tiles(spark: SparkSession, path: str | list[str], field: str | None = None, tile: int = TILE) -> DataFrame:
+    """Tiles (variant_id, tile, subject_ids, dosages), ids being file rows; no cell becomes a row of its own."""
+    field = field or declared_field(spark, path)
+    numbered = number_rows(_records(spark, path), ["file", "block", "at"], "variant_id")
+    p = F.col("part")
+    place = F.array_position(F.split(p[FORMAT_COLUMN], ":"), field).cast("int")
+    samples = F.slice(p, FIXED_COLUMNS + 1, F.size(p))
+    dosages = F.transform(samples, lambda c: dosage_of(F.get(F.split(c, ":"), place - 1), field))
+    last = F.floor((F.size("dosages") - 1) / tile).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda t: F.slice("dosages", t * tile + 1, F.lit(tile)))
+    tiles = numbered.select("variant_id", dosages.alias("dosages")).select(
+        "variant_id", F.posexplode(parts).alias("tile", "dosages")
+    )
+    first = F.col("tile").cast("long") * tile
+    ids = F.sequence(first, first + F.size("dosages") - 1)
+    return tiles.select("variant_id", F.col("tile").cast("long").alias("tile"), ids.alias("subject_ids"), "dosages")

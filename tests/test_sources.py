@@ -71,6 +71,17 @@ def test_fam_and_bim(spark, tmp_path):
     assert not plink.same_individuals(frame, frame.filter("subject_row > 0"))
 
 
+def test_filesets_are_chained(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).mkdir()
+    a = write_fileset(tmp_path / "a", np.full((2, 3), 1))
+    b = write_fileset(tmp_path / "b", np.full((1, 3), 2))
+    rows = plink.read_filesets(spark, [a, b]).orderBy("variant_id").collect()
+    assert [(r.variant_id, list(r.dosages)) for r in rows] == [(0, [1, 1, 1]), (1, [1, 1, 1]), (2, [2, 2, 2])]
+    with pytest.raises(ValueError):
+        plink.read_filesets(spark, [a, write_fileset(tmp_path / "c", np.zeros((1, 4), int))])
+
+
 def test_fam_with_spaces(spark, tmp_path):
     (tmp_path / "s.fam").write_text("f1 a 0 0 1 2\nf2 b 0 0 2 -9\n")
     rows = plink.read_fam(spark, str(tmp_path / "s.fam")).orderBy("subject_row").collect()
@@ -99,6 +110,9 @@ def test_vcf(spark, tmp_path):
         return [r.dosage for r in rows]
 
     assert dosages(None) == [2, 1, 0, None, 1, 0, 1, None]
+    for width in (3, 4):
+        cells = from_tiles(vcf.read_vcf_tiles(spark, path, tile=width), "variant_id", "subject_id", "subject_ids")
+        assert [r.dosage for r in cells.orderBy("variant_id", "subject_id").collect()] == dosages(None)
     assert dosages("DS") == pytest.approx([1.9, 0.8, 0.0, None, 1.5, 0.5, None, 2.0])
 
 
