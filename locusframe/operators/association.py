@@ -798,6 +798,7 @@ def gwas_tiles(
     threshold: float | None = None,
     sparse: bool = False,
     n_variants: int | None = None,
+    subjects: DataFrame | None = None,
     variants_per_group: int = 4096,
     traits_per_pass: int = 1024,
 ) -> DataFrame:
@@ -807,9 +808,13 @@ def gwas_tiles(
     and the genotypes do not move. Otherwise tiles and design rows meet in groups of one
     subject tile by one part of the variants, whose memory the sizes fix. Traits are
     handled `traits_per_pass` at a time; `n_variants` saves counting them. `design` is wide
-    or already packed by `pack_design` in the order of `covs` and `traits`.
+    or already packed by `pack_design` in the order of `covs` and `traits`. `subjects`
+    names the individuals of the matrix where the design has others too; without it a
+    design row that no tile lists counts as missing everywhere (sparse: as dosage 0).
     """
     rows = design if design.columns == ["subject_id", "x"] else pack_design(design, covs, traits)
+    if subjects is not None:
+        rows = materialise(rows.join(subjects.select("subject_id"), "subject_id", "left_semi"))
     if n_variants is None:
         n_variants = tiles.select("variant_id").distinct().count()
     packed, kind = _packed(tiles, tile), tiles.schema["variant_id"].dataType

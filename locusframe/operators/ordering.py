@@ -8,6 +8,7 @@ shifted by the sizes of the partitions before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,10 +53,11 @@ def number_rows(
         .withColumn("_part", F.shiftright("_id", _ROW_BITS))
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
     )
-    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    placed = held.join(_part_offsets(sizes, [], ["n"]), "_part").withColumn(
-        "_at", F.col("_row") + F.col("_before_n")
-    )
+    # One number per range partition comes to the driver and goes back as a constant.
+    sizes = {r._part: r.n for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0)))]
+    offsets = F.expr(f"array({', '.join(f'{s}L' for s in starts)})")
+    placed = held.withColumn("_at", F.col("_row") + offsets[F.col("_part").cast("int")])
     if by:
         group = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
         first = placed.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.min("_at").alias("_first"))

@@ -272,17 +272,20 @@ def fit_topology_net(
 
 
 def _batches(train: DataFrame, x: DataFrame, epoch: int, params: Params, n: int):
-    """Subjects and cells of every batch of an epoch."""
+    """Subjects and cells of every batch of an epoch.
+
+    The cells are written by batch once per epoch, so a step reads its own batch only.
+    """
     if params.batch_size is None or params.batch_size >= n:
         yield train, x
         return
     planned = materialise(
         assign_batches(train, params.batch_size, params.epoch_size, epoch, params.seed, n_rows=n)
     )
-    count = planned.agg(F.max("batch")).first()[0] + 1
-    for b in range(count):
-        some = planned.filter(F.col("batch") == b).drop("batch")
-        yield some, x.join(some.select("subject_id"), "subject_id", "left_semi")
+    cells = materialise(x.join(planned.select("subject_id", "batch"), "subject_id"), "batch")
+    for b in range(planned.agg(F.max("batch")).first()[0] + 1):
+        here = F.col("batch") == b
+        yield planned.filter(here).drop("batch"), cells.filter(here).drop("batch")
 
 
 def dense_edges(variants: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def normalise_nodes(v: Views) -> DataFrame:
     return rounded(n.normalise(x, n.node_moments(x)), "value").select("subject_id", "node", "value")
 
 
+@query("genotype_sparse", f"""
+    WITH m AS (SELECT variant_id AS node, avg(dosage) AS m, var_pop(dosage) AS s FROM genotype_sparse GROUP BY variant_id)
+    SELECT node, {sql6('0.99e0 * (0.01e0 * m) + 0.01e0 * m')} AS mean, {sql6('0.99e0 * (0.99e0 + 0.01e0 * s) + 0.01e0 * s')} AS variance FROM m""")
+def running_moments(v: Views) -> DataFrame:
+    """Two updates of the weighted moments by the same batch."""
+    now = n.node_moments(n.as_nodes(v.genotype_sparse))
+    once = n.update_moments(now.limit(0), now)
+    return rounded(n.update_moments(once, now), "mean", "variance")
+
+
 @query("genotype_sparse weights", f"""
     WITH g AS (SELECT dst, avg(dosage) AS m, var_pop(dosage) AS s FROM genotype_sparse JOIN weights ON layer = 0 AND src = variant_id GROUP BY dst),
     i AS (SELECT src, sum(m) AS m, sum(s) AS s FROM weights JOIN g USING (dst) WHERE layer = 0 GROUP BY src)

@@ -60,13 +60,14 @@ def clear_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and fixes the values of
-    partition-dependent expressions such as spark_partition_id().
+    partition-dependent expressions such as spark_partition_id(). Filters on
+    `partition_by` columns later read only their folders.
     """
     spark = df.sparkSession
     path = f"{intermediates(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,6 +35,12 @@ def test_number_rows_matches_sorting(spark):
     assert all(by[i] == n for i, n in zip(ranked.index, ranked))
 
 
+def test_number_rows_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, x int")
+    assert ordering.number_rows(df, ["x"], "n").count() == 0
+    assert ordering.number_rows(df, ["x"], "n", by=["k"]).count() == 0
+
+
 def test_number_rows_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, x int")
     rows = ordering.number_rows(df, ["x"], "n", by=["k"]).collect()
@@ -133,9 +139,14 @@ def test_tiles_equal_long_path(spark, monkeypatch, limit, width, missing):
     monkeypatch.setattr(a, "ROWS_PER_PRODUCT", 3)
     _, _, _, geno, design = simulated(spark, missing=missing)
     design = design.filter("subject_id <> 7")
+    others = design.limit(3).withColumn("subject_id", F.col("subject_id") + 60)
     tiles = genotype.to_variant_major(geno, tile=width)
+    subjects = geno.select("subject_id").distinct()
     left = a.gwas(geno, design, ["c0", "c1"], ["y0", "y1"]).toPandas().sort_values(["variant_id", "trait"])
-    right = a.gwas_tiles(tiles, design, ["c0", "c1"], ["y0", "y1"], tile=width, variants_per_group=5, traits_per_pass=1).toPandas()
+    right = a.gwas_tiles(
+        tiles, design.unionByName(others), ["c0", "c1"], ["y0", "y1"], tile=width, variants_per_group=5, traits_per_pass=1,
+        subjects=subjects,
+    ).toPandas()
     right = right.sort_values(["variant_id", "trait"])
     assert np.allclose(left[["af", "beta", "se", "t_stat"]], right[["af", "beta", "se", "t_stat"]])
 
