@@ -84,12 +84,14 @@ def normalise_nodes(v: Views) -> DataFrame:
 
 @query("genotype_sparse", f"""
     WITH m AS (SELECT variant_id AS node, avg(dosage) AS m, var_pop(dosage) AS s FROM genotype_sparse GROUP BY variant_id)
-    SELECT node, {sql6('0.99e0 * (0.01e0 * m) + 0.01e0 * m')} AS mean, {sql6('0.99e0 * (0.99e0 + 0.01e0 * s) + 0.01e0 * s')} AS variance FROM m""")
+    SELECT node, round(0.99e0 * (0.01e0 * m) + 0.01e0 * m, 12) AS mean, round(0.99e0 * (0.99e0 + 0.01e0 * s) + 0.01e0 * s, 12) AS variance FROM m""")
 def running_moments(v: Views) -> DataFrame:
     """Two updates of the weighted moments by the same batch."""
     now = n.node_moments(n.as_nodes(v.genotype_sparse))
     once = n.update_moments(now.limit(0), now)
-    return rounded(n.update_moments(once, now), "mean", "variance")
+    # Twelve places: the products of short fractions end late.
+    twice = n.update_moments(once, now)
+    return twice.select("node", F.round("mean", 12).alias("mean"), F.round("variance", 12).alias("variance"))
 
 
 @query("genotype_sparse weights", f"""
