@@ -7,14 +7,12 @@ layer<k>_name columns; edge tables hold (layer, src, dst).
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.text import clean_gene
 from locusframe.operators.ordering import number_rows
-from locusframe.session import materialise
 
 # Fixed values of the annotation and pathway tables.
 UNANNOTATED = "NONE"
