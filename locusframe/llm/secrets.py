@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that look random to character Markov models.
 
 Two first-order Markov models of characters, one of random strings and one of ordinary
-identifiers, are counted from labelled samples with add-one smoothing. A run of 20 or more
+identifiers, are counted from labelled samples; transitions fall back on the frequency of the
+second character, with add-one smoothing. A run of 20 or more
 characters of `[A-Za-z0-9+/_=-]` whose mean log2 likelihood ratio per transition is `MIN_BITS` or
 more is reported as `random`, unless it overlaps a match of the patterns. All built-in functions.
 
@@ -32,6 +33,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "random"]
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_BITS = 1.0
+#: Weight of a character's own frequency against its frequency after another.
+BACKOFF = 8
 SAMPLES = 20_000
 #: Rows with findings that may travel to every task; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -57,11 +60,18 @@ def train(samples: DataFrame) -> list[float]:
     counts = {(r.label, r.pair): r.n for r in rows.where("pair BETWEEN 0 AND 16383").groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
     places = [ord(c) for c in _ALPHABET]
     ratios = [0.0] * (128 * 128)
-    for a in places:
-        total = [sum(counts.get((label, a * 128 + b), 0) for b in places) + len(places) for label in (0, 1)]
-        for b in places:
-            p = [(counts.get((label, a * 128 + b), 0) + 1) / total[label] for label in (0, 1)]
-            ratios[a * 128 + b] = round(math.log2(p[1] / p[0]), 6)
+    models = []
+    for label in (0, 1):
+        into = {b: sum(counts.get((label, a * 128 + b), 0) for a in places) + 1 for b in places}
+        total = sum(into.values())
+        model = {}
+        for a in places:
+            row = [counts.get((label, a * 128 + b), 0) for b in places]
+            for b, n in zip(places, row):
+                model[a * 128 + b] = (n + BACKOFF * into[b] / total) / (sum(row) + BACKOFF)
+        models.append(model)
+    for pair in models[0]:
+        ratios[pair] = round(math.log2(models[1][pair] / models[0][pair]), 6)
     return ratios
 
 
