@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is cut from an annotated gene name, in this order.
-GENE_NAME_CUTS = [r",.*", r"\([^)]*\)", r"\(.*", r";.*"]
+GENE_NAME_CUTS = [r",.*", r"\(.*\)", r"\(.*", r";.*"]
 
 
 def clean_gene(name: Column) -> Column:
@@ -18,6 +18,13 @@ def clean_gene(name: Column) -> Column:
     return name
 
 
+def chromosome_code(name: Column) -> Column:
+    """Chromosome as a number: a leading chr is dropped, X Y XY MT (or M) are 23 to 26; null for other names."""
+    bare = F.upper(F.regexp_replace(name, "(?i)^chr", ""))
+    coded = F.when(bare == "X", 23).when(bare == "Y", 24).when(bare == "XY", 25).when(bare.isin("MT", "M"), 26)
+    return coded.otherwise(bare.try_cast("int"))
+
+
 def explode_columns(df: DataFrame, columns: Sequence[str], separator: str = ",") -> DataFrame:
     """One row per element of parallel list columns; shorter lists are filled with null."""
     lists = [F.transform(F.split(F.col(c), separator), lambda x: F.trim(x)).alias(c) for c in columns]

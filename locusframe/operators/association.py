@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.arrays import combined, flat_lists, to_lists
 from locusframe.functions.tails import p_value
-from locusframe.operators.genotype import frequency_kept
+from locusframe.operators.genotype import frequency_kept, impute_mean
 from locusframe.operators.ordering import number_rows, seeded_order
 from locusframe.session import materialise
 
@@ -461,8 +461,10 @@ def encode_pair(geno: DataFrame, traits: DataFrame, subjects: DataFrame, seed: i
 
     Subjects are cut into blocks of 256; block b is multiplied by its own matrix F_b
     (genotypes) and F_b^-1 (traits). A task sees one block of subjects by one tile of
-    256 variants or traits. `traits` is long (subject_id, trait, value).
+    256 variants or traits. `traits` is long (subject_id, trait, value). Missing calls take
+    the variant's mean first, as in the open analysis; one would spoil its whole block.
     """
+    geno = impute_mean(geno, rounded=False)
     placed = number_rows(subjects.select("subject_id").distinct(), ["subject_id"], "_at")
     placed = placed.withColumn("block", F.floor(F.col("_at") / BLOCK).cast("long")).withColumn(
         "place", (F.col("_at") % BLOCK).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,7 +222,12 @@ def epistasis_auc(ranking: DataFrame, causal: DataFrame, k: int, run: str | None
         first = first.join(hit, side, "left")
     both = F.col("_hit_a").isNotNull() & F.col("_hit_b").isNotNull() & (F.col("_a") != F.col("_b"))
     scored = first.select(*by, both.cast("int").alias("y"), F.col("strength").alias("p"))
-    return auc(scored, by=by).withColumn("auc", F.coalesce("auc", F.lit(0.0)))
+    # Equal strengths rank nothing: 0 as well.
+    spread = scored.groupBy(*by).agg((F.min("p") < F.max("p")).alias("_ranked"))
+    value = F.when(F.col("_ranked"), F.coalesce("auc", F.lit(0.0))).otherwise(0.0).alias("auc")
+    found = auc(scored, by=by)
+    joined = found.join(spread, by) if by else found.join(F.broadcast(spread))  # one row each without runs
+    return joined.select(*[value if c == "auc" else c for c in found.columns])
 
 
 # ---------------------------------------------------------------- predictors of the label
@@ -252,12 +258,14 @@ def rlipp(edges: DataFrame, child_fits: DataFrame, parent_fits: DataFrame) -> Da
     )
 
 
-def joint_fit(acts: DataFrame, labels: DataFrame, edges: DataFrame, tolerance: float = 1e-12, rounds: int = 200) -> DataFrame:
+def joint_fit(acts: DataFrame, labels: DataFrame, edges: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """(dst, r2, children): adjusted R2 of y on all children of a parent jointly, no intercept.
 
     Solves every parent's least squares at once by conjugate gradients on its columns:
     a round is two grouped sums over the activations, so no Gram matrix of a wide
-    parent is ever formed. Parents that have converged drop out of later rounds.
+    parent is ever formed. Parents that have converged drop out of later rounds; all
+    must. Rounding can make that take more rounds than a parent has children; ten times
+    as many without an end is an error.
     """
     spark = acts.sparkSession
     cells = materialise(
@@ -274,7 +282,12 @@ def joint_fit(acts: DataFrame, labels: DataFrame, edges: DataFrame, tolerance: f
     )
     start = materialise(state.groupBy("dst").agg(F.sum(F.col("r") * F.col("r")).alias("start"), F.count(F.lit(1)).alias("children")))
     gained = spark.createDataFrame([], "dst long, gain double")
-    for _ in range(rounds):
+    widest = start.agg(F.max("children")).first()[0] or 0
+    done = 0
+    while True:
+        done += 1
+        if done > 10 * widest + 10:
+            raise RuntimeError("the joint fit does not converge")
         squares = state.groupBy("dst").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
         live = squares.join(start, "dst").filter(F.col("rr") > tolerance * F.col("start")).select("dst", "rr")
         state = state.join(live, "dst")
@@ -323,28 +336,37 @@ def rlipp_joint(edges: DataFrame, children: DataFrame, parents: DataFrame, label
     )
 
 
-def univariate_logit(acts: DataFrame, labels: DataFrame, rounds: int = 25, tolerance: float = 1e-10) -> DataFrame:
+def univariate_logit(acts: DataFrame, labels: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """(node, beta, pseudo_r2): logistic fit of y on one predictor without intercept, McFadden's R2.
 
-    Newton steps for all nodes at once over counts per (node, value, y). The null model
-    is the intercept-only one.
+    Newton steps for all nodes at once over counts per (node, value, y), shortened so that they
+    always converge, until every node has. The null model is the intercept-only one. Where the
+    sign of the predictor separates the labels there is no maximum: beta and pseudo_r2 are null.
     """
     counts = materialise(
         acts.join(labels, "subject_id").groupBy("node", F.col("value").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    betas = materialise(counts.select("node").distinct().withColumn("beta", F.lit(0.0)))
+    side = F.col("x") * (2 * F.col("y") - 1)
+    separate = (F.min(side) >= 0) | (F.max(side) <= 0)
+    betas = materialise(
+        counts.groupBy("node").agg(separate.alias("separate"), F.max(F.abs("x")).alias("reach"))
+        .select("node", "separate", "reach", F.when(F.col("separate"), None).otherwise(0.0).cast("double").alias("beta"))
+    )
     p = 1 / (1 + F.exp(-F.col("beta") * F.col("x")))
-    for _ in range(rounds):
-        sums = counts.join(betas, "node").groupBy("node", "beta").agg(
+    for rounds in count():
+        sums = counts.join(betas.where("NOT separate"), "node").groupBy("node", "beta", "reach").agg(
             F.sum(F.col("n") * F.col("x") * (F.col("y") - p)).alias("slope"),
             F.sum(F.col("n") * F.col("x") * F.col("x") * p * (1 - p)).alias("curve"),
         )
-        step = F.coalesce(F.try_divide("slope", "curve"), F.lit(0.0))
-        moved = materialise(sums.select("node", (F.col("beta") + step).alias("beta"), F.abs(step).alias("step")))
-        betas = moved.select("node", "beta")
-        if moved.agg(F.max("step")).first()[0] < tolerance:
+        newton = F.coalesce(F.try_divide("slope", "curve"), F.lit(0.0))
+        step = F.signum(newton) * F.log1p(F.col("reach") * F.abs(newton)) / F.col("reach")
+        moved = materialise(sums.select("node", "reach", (F.col("beta") + step).alias("beta"), (F.abs(step) / (1 + F.abs("beta"))).alias("step")))
+        betas = betas.where("separate").unionByName(moved.select("node", F.lit(False).alias("separate"), "reach", "beta"))
+        if (moved.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
+        if rounds == 1000:
+            raise RuntimeError("the logistic fits do not converge")
     fitted = F.col("n") * (F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
     per_node = counts.join(betas, "node").groupBy("node", "beta").agg(
         F.sum(fitted).alias("ll"),

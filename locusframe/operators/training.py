@@ -182,10 +182,10 @@ def _through_normalisation(back: DataFrame, x: DataFrame, n: int) -> DataFrame:
     return joined.join(means, "node").select("subject_id", "node", inner.alias("d"))
 
 
-def _adam(parameters: DataFrame, grads: DataFrame, step: int, rate: float, params: Params) -> DataFrame:
-    """Adam update (decay 0.9 and 0.999) with the L1 slope on edge weights."""
+def _adam(parameters: DataFrame, grads: DataFrame, step: int, rate: float, params: Params, first_dense: int = 0) -> DataFrame:
+    """Adam update (decay 0.9 and 0.999) with the L1 slope on the edge weights of dense layers."""
     b1, b2, eps = 0.9, 0.999, 1e-7
-    l1 = F.when(F.col("src") != BIAS, F.signum("w") * F.lit(params.l1)).otherwise(F.lit(0.0))
+    l1 = F.when((F.col("src") != BIAS) & (F.col("layer") >= first_dense), F.signum("w") * F.lit(params.l1)).otherwise(F.lit(0.0))
     g = F.coalesce("g", F.lit(0.0)) + l1
     moved = parameters.join(grads, KEYS, "left").select(
         *KEYS, "w", (F.col("m") * b1 + g * (1 - b1)).alias("m"), (F.col("v") * b2 + g * g * (1 - b2)).alias("v")
@@ -226,7 +226,9 @@ def fit_topology_net(
     params, covs = params or Params(), list(covariates or [])
     if add_output:
         edges, depth = with_output(edges, len(covs))
+        first_dense = depth - 1 - bool(covs)  # layers of the topology carry no weight penalty
     else:
+        first_dense = 0
         depth = edges.agg(F.max("layer")).first()[0] + 1
     edges = materialise(edges)
     facts = train.agg(F.avg("label"), F.min("label"), F.count(F.lit(1))).first()
@@ -250,7 +252,7 @@ def fit_topology_net(
         for batch_subjects, cells in _batches(train, x_train, epoch, params, facts[2]):
             step += 1
             grads, loss = _gradients(as_network(parameters, kinds, covs), cells, batch_subjects, params)
-            parameters = materialise(_adam(parameters, grads, step, rate, params))
+            parameters = materialise(_adam(parameters, grads, step, rate, params, first_dense))
             losses.append(loss.first()[0])
         net = as_network(parameters, kinds, covs)
         if params.normalise and depth > 1:
@@ -306,9 +308,9 @@ def fit_gene_l1(geno: DataFrame, train: DataFrame, validation: DataFrame, edges:
 
 
 def fit_logistic(geno: DataFrame, train: DataFrame, validation: DataFrame, params: Params | None = None) -> DataFrame:
-    """Unpenalised logistic comparator: (variant_id, coefficient) by falling size."""
+    """Unpenalised logistic comparator: (variant_id, coefficient) by falling coefficient."""
     params = params or Params(epochs=100)
     params = Params(**{**params.__dict__, "l1": 0.0, "l1_activity": 0.0, "regression": False})
     fit = fit_lasso(geno, train, validation, params)
     ranked = fit.network.edges.select(F.col("src").alias("variant_id"), F.col("w").alias("coefficient"))
-    return ranked.orderBy(F.desc(F.abs("coefficient")), "variant_id")
+    return ranked.orderBy(F.desc("coefficient"), "variant_id")

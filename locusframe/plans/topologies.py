@@ -13,7 +13,7 @@ from locusframe.sources import tables
 
 CLEAN = r"""
     cleaned AS (
-        SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(gene, ',.*', ''), '\([^)]*\)', ''), '\(.*', ''), ';.*', '') AS name
+        SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(gene, ',.*', ''), '\(.*\)', ''), '\(.*', ''), ';.*', '') AS name
         FROM annotation),
     known AS (SELECT * FROM cleaned WHERE name <> 'NONE'),
     firsts AS (SELECT * FROM (SELECT name, chr, bps, row_number() OVER (PARTITION BY name ORDER BY index_col) AS rn FROM known) WHERE rn = 1),

@@ -12,7 +12,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value, file, block, at): splits are read in parallel; (file, block, at) sorts them in file order."""
     return spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -26,6 +26,6 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], out: str) -> DataFrame:
-    """(value, <out>) with consecutive line numbers from 0 over all files in name order."""
+    """(value, <out>) with consecutive line numbers from 0 over all files in order of their paths."""
     lines = read_lines(spark, path).filter(F.length(F.trim("value")) > 0)
     return number_rows(lines, ["file", "block", "at"], out).select("value", out)

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from locusframe.operators.genotype import TILE
+from locusframe.functions.text import chromosome_code
 from locusframe.sources.lines import numbered_lines
 
 # Fixed values of the .bed format.
@@ -43,7 +44,7 @@ def read_bim(spark: SparkSession, path: str | list[str]) -> DataFrame:
     part = F.split(F.trim("value"), r"\s+")
     return numbered_lines(spark, path, "variant_row").select(
         "variant_row",
-        part[0].try_cast("int").alias("chr"),
+        chromosome_code(part[0]).alias("chr"),
         part[1].alias("variant_id"),
         part[2].try_cast("double").alias("distance"),
         part[3].try_cast("long").alias("bp"),

@@ -25,7 +25,11 @@ def _require(df: DataFrame, columns: list[str], what: str) -> None:
 def read_wide_traits(spark: SparkSession, path: str) -> DataFrame:
     """Wide numeric table, tab or else space separated, first column the individual."""
     header = first_line(spark, path)
-    df = spark.read.csv(path, sep="\t" if "\t" in header else " ", header=True)
+    sep = "\t" if "\t" in header else " "
+    named = header.split(sep)
+    if len(set(named)) < len(named):  # the CSV reader would rename them
+        raise ValueError("column names must be unique")
+    df = spark.read.csv(path, sep=sep, header=True)
     id_, *names = df.columns
     return df.select(F.col(f"`{id_}`").alias("subject_id"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names])
 
@@ -55,7 +59,10 @@ def validate_traits(traits: DataFrame) -> DataFrame:
 def check_subjects(df: DataFrame, regression: bool) -> DataFrame:
     """Subjects with the required columns and labels that fit the kind of problem."""
     _require(df, SUBJECT_COLUMNS, "the subjects table")
-    other = df.agg(F.count_if(~F.col("labels").isin(0, 1))).first()[0]
+    label = F.col("labels").try_cast("double")
+    other, unread = df.agg(F.count_if(~label.isin(0.0, 1.0)), F.count_if(label.isNull())).first()
+    if unread:
+        raise ValueError(f"{unread} subjects have no label that is a number")
     if regression and other == 0:
         raise ValueError("regression needs labels other than 0 and 1")
     if not regression and other > 0:
