@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import slices
+
 ASSISTANT = "assistant"
 OPEN = {True: "<s>", False: "[INST]"}
 CLOSE = {True: "</s>", False: "[/INST]"}
@@ -93,7 +95,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, formatted, role and text as read back, loss_start and loss_end (in `formatted`), escaped."""
 
     def render(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             columns = list(zip(*(round_trip(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())))) or [[]] * 4
             formatted, role, text, level = columns
             own = [r == ASSISTANT for r in role]

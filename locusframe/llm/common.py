@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.session import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,3 +27,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def slices(batches, rows: int = 400):
+    """Arrow batches cut to `rows` rows, so that a task holds few long texts and results at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make checkpoint() write to the shared folder."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)

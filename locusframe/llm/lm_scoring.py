@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import small
+from locusframe.llm.common import checkpoint_folder, slices, small
 
 VOCABULARY = 60_000
 BITS = 20
@@ -52,7 +52,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
             counts.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update((text or b"").lower().split())
                 if len(counts) > COUNTED:
@@ -107,7 +107,7 @@ def count_models(docs: DataFrame, words, n_words: int, bits: int) -> np.ndarray:
                 sums[at, n_words + 1] += sum(len(i) > 0 for i, _ in rows)
                 sums[at, n_words + 2 :] += np.bincount(places, minlength=2**bits)
 
-        for batch in batches:
+        for batch in slices(batches):
             coded = [coder(t) for t in batch.column(0).to_pylist()]
             target = batch.column(1).to_pylist()
             add(coded, 0)
@@ -127,10 +127,8 @@ def count_models(docs: DataFrame, words, n_words: int, bits: int) -> np.ndarray:
 
 def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, bits: int = BITS, weight: float = WEIGHT) -> DataFrame:
     """doc_id, n_tokens, target_loss and background_loss (bits a token), score; one row per row of docs."""
-    from locusframe.llm.near_dup import _checkpoint_folder
-
     spark = docs.sparkSession
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     words_list = vocabulary(docs, size)
     n_words = len(words_list)
     words = spark.sparkContext.broadcast(words_list)
@@ -146,7 +144,7 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, bits:
             unigram, places = c[: n_words + 2].astype(np.float64), c[n_words + 2 :]
             n = unigram[: n_words + 1].sum()
             own.append(((1 - weight) * (unigram[: n_words + 1] + 1) / (n + n_words + 1), np.maximum(unigram, 1), places))
-        for batch in batches:
+        for batch in slices(batches):
             n, found = [], ([], [])
             for text in batch.column(1).to_pylist():
                 ids, places = coder(text)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import small
+from locusframe.llm.common import checkpoint_folder, small, slices
 from locusframe.session import materialise
 
 REGISTERS = 128
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             n, d1, d2, regs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = hasher.shingles(text)
@@ -350,7 +350,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept; one row per row of docs."""
     spark = docs.sparkSession
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
@@ -376,11 +376,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
-
-
-def _checkpoint_folder(spark) -> None:
-    from locusframe.session import shared_folder
-
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusframe.llm.common import slices
+
 MIN_WORDS = 50
 TREES, SAMPLE, DEPTH, FIT_ROWS = 100, 256, 12, 20_000
 GOOD_LOST = 0.002
@@ -130,7 +132,7 @@ def _table(docs: DataFrame, extra: list[str]) -> DataFrame:
     fields = [wanted.schema[c] for c in extra] + [T.StructField(c, T.LongType()) for c in STATISTICS]
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics_of(x) for x in batch.column(len(extra)).to_pylist()]
             columns = [pa.array([s[i] for s in stats], pa.int64()) for i in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *columns], [*extra, *STATISTICS])
