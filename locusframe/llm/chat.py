@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import slices
+from locusframe.llm.common import prepare, slices
 
 ASSISTANT = "assistant"
 OPEN = {True: "<s>", False: "[INST]"}
@@ -94,6 +94,8 @@ def round_trip(role: str, text: str) -> tuple[str, str, str, int]:
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, formatted, role and text as read back, loss_start and loss_end (in `formatted`), escaped."""
 
+    prepare(turns.sparkSession)
+
     def render(batches):
         for batch in slices(batches, 2000):
             columns = list(zip(*(round_trip(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())))) or [[]] * 4

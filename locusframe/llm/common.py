@@ -36,8 +36,9 @@ def slices(batches, rows: int = 400):
             yield batch.slice(start, rows)
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Make checkpoint() write to the shared folder."""
+def prepare(spark: SparkSession) -> None:
+    """Make checkpoint() write to the shared folder, and let few long texts cross to Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import checkpoint_folder, slices, small
+from locusframe.llm.common import prepare, slices, small
 
 VOCABULARY = 60_000
 BITS = 20
@@ -128,7 +128,7 @@ def count_models(docs: DataFrame, words, n_words: int, bits: int) -> np.ndarray:
 def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, bits: int = BITS, weight: float = WEIGHT) -> DataFrame:
     """doc_id, n_tokens, target_loss and background_loss (bits a token), score; one row per row of docs."""
     spark = docs.sparkSession
-    checkpoint_folder(spark)
+    prepare(spark)
     words_list = vocabulary(docs, size)
     n_words = len(words_list)
     words = spark.sparkContext.broadcast(words_list)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import checkpoint_folder, small, slices
+from locusframe.llm.common import prepare, slices, small
 from locusframe.session import materialise
 
 REGISTERS = 128
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Shingle hashes of a text; keeps the hashes of recent words."""
 
-    def __init__(self, kept: int = 500_000):
+    def __init__(self, kept: int = 120_000):
         import xxhash
 
         self.hash, self.kept, self.words = xxhash.xxh64_intdigest, kept, {}
@@ -350,7 +350,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept; one row per row of docs."""
     spark = docs.sparkSession
-    checkpoint_folder(spark)
+    prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(

@@ -19,7 +19,7 @@ repeat a document are each returned. Other columns are kept where a caller asks
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusframe.llm.common import slices
+from locusframe.llm.common import prepare, slices
 
 MIN_WORDS = 50
 TREES, SAMPLE, DEPTH, FIT_ROWS = 100, 256, 12, 20_000
@@ -126,16 +126,20 @@ def scores(trees: list[np.ndarray], scale: float, rows: np.ndarray) -> np.ndarra
     return 2.0 ** (-depth / len(trees) / scale)
 
 
-def _table(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """`extra` columns and the five statistics of each row."""
+def _table(docs: DataFrame, extra: list[str], judge: Callable[[np.ndarray], list[pa.Array]] | None = None) -> DataFrame:
+    """`extra` columns and the five statistics of each row; with `judge`, anomaly, base_failed and kept."""
     wanted = docs.select(*[F.col(f"`{c}`") for c in extra], F.col("text").cast("binary").alias("_quality_text"))
     fields = [wanted.schema[c] for c in extra] + [T.StructField(c, T.LongType()) for c in STATISTICS]
+    if judge:
+        fields += [T.StructField("anomaly", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
+    names = [f.name for f in fields]
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
             stats = [statistics_of(x) for x in batch.column(len(extra)).to_pylist()]
             columns = [pa.array([s[i] for s in stats], pa.int64()) for i in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *columns], [*extra, *STATISTICS])
+            verdict = judge(np.array(stats, np.float64)) if judge else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *columns, *verdict], names)
 
     return wanted.mapInArrow(count, T.StructType(fields))
 
@@ -164,26 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[F
 
 def quality(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Columns `carry` of docs (doc_id by default), statistics, score, base_failed and kept."""
+    prepare(docs.sparkSession)
     carry = ["doc_id"] if carry is None else carry
     model = fit(docs, labels)
     # Plain arrays: executors need not know the class.
     sent = docs.sparkSession.sparkContext.broadcast(model and (model[0].trees, model[0].scale, model[1]))
-    base = _table(docs, carry)
-    names = [*carry, *STATISTICS]
-
-    def judge(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            stats = np.column_stack([batch.column(names.index(c)).to_numpy() for c in STATISTICS]).astype(np.float64)
-            score = np.zeros(len(stats)) if sent.value is None else scores(sent.value[0], sent.value[1], rates(stats))
-            failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > 50 * stats[:, 0])
-            kept = ~failed if sent.value is None else ~failed & (score <= sent.value[2])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array(failed), pa.array(kept)], [*names, "anomaly", "base_failed", "kept"]
-            )
-
-    schema = T.StructType(
-        [*base.schema.fields, T.StructField("anomaly", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
-    )
-    return base.mapInArrow(judge, schema)
+
+    def judge(stats: np.ndarray) -> list[pa.Array]:
+        failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > 50 * stats[:, 0])
+        if sent.value is None:
+            return [pa.array(np.zeros(len(stats))), pa.array(failed), pa.array(~failed)]
+        score = scores(sent.value[0], sent.value[1], rates(stats))
+        return [pa.array(score), pa.array(failed), pa.array(~failed & (score <= sent.value[2]))]
+
+    return _table(docs, carry, judge)
