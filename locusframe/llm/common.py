@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,26 @@ def slices(batches, rows: int = 400):
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker serves many tasks and else holds the most that any one took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def tidy(task):
+    """The Arrow task function `task`, giving memory back after each partition."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def prepare(spark: SparkSession) -> None:
     """Make checkpoint() write to the shared folder, and let few long texts cross to Python at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import prepare, slices, small
+from locusframe.llm.common import prepare, slices, small, tidy
 from locusframe.session import materialise
 
 REGISTERS = 128
@@ -146,6 +146,7 @@ def _set_digest(shingles: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (d1, d2) and registers (null for empty sets)."""
 
+    @tidy
     def sign(batches):
         hasher = Hasher()
         for batch in slices(batches):
@@ -169,6 +170,7 @@ def _bands(reps: DataFrame) -> DataFrame:
     per_doc = REGISTERS // BAND
     marks = np.arange(1, per_doc + 1, dtype=np.uint64) * _MULTIPLIER
 
+    @tidy
     def band(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -207,6 +209,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
         "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("leader").alias("id"), "text"
     )
 
+    @tidy
     def check(batches):
         hasher, at, sets, lead = Hasher(), None, {}, []
         for batch in batches:
@@ -299,6 +302,7 @@ def _search_blocks(buckets: DataFrame, labels: DataFrame, tested: DataFrame, tex
                     root[max(a, b)] = min(a, b)
                     yield rows[x][0], rows[y][0]
 
+    @tidy
     def blocks(batches):
         hasher, at, rows = Hasher(), None, []
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusframe.llm.common import prepare, slices
+from locusframe.llm.common import prepare, slices, tidy
 
 MIN_WORDS = 50
 TREES, SAMPLE, DEPTH, FIT_ROWS = 100, 256, 12, 20_000
@@ -134,6 +134,7 @@ def _table(docs: DataFrame, extra: list[str], judge: Callable[[np.ndarray], list
         fields += [T.StructField("anomaly", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
     names = [f.name for f in fields]
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
             stats = [statistics_of(x) for x in batch.column(len(extra)).to_pylist()]
