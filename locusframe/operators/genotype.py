@@ -148,12 +148,16 @@ def to_variant_major(geno: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def _tiled(geno: DataFrame, row: str, column: str, names: str, tile: int) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct(column, "dosage")))
+    cells = F.col("_cells")
+
+    def last(cell: Column, at: Column) -> Column:
+        return (at == F.size(cells) - 1) | ~F.get(cells, at + 1)[column].eqNullSafe(cell[column])
+
     return (
-        # One cell per key: copies of a cell collapse before the shuffle.
-        geno.groupBy(row, column).agg(F.max("dosage").alias("dosage"))
-        .groupBy(row, F.floor(F.col(column) / tile).cast("long").alias("tile"))
-        .agg(cells.alias("_cells"))
+        # Equal copies of a cell collapse before the only shuffle; of unequal ones the largest call stays, sorted last.
+        geno.groupBy(row, F.floor(F.col(column) / tile).cast("long").alias("tile"))
+        .agg(F.array_sort(F.collect_set(F.struct(column, "dosage"))).alias("_cells"))
+        .select(row, "tile", F.filter(cells, last).alias("_cells"))
         .select(row, "tile", F.col(f"_cells.{column}").alias(names), F.col("_cells.dosage").alias("dosages"))
     )
 

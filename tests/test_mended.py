@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.text import chromosome_code, clean_gene
 from locusframe.operators import association, interpret
+from locusframe.operators.genotype import to_subject_major
 from locusframe.sources import tables, vcf
 
 
@@ -71,3 +72,13 @@ def test_a_missing_call_is_imputed_before_masking(spark):
     masked = association.encode_pair(geno, traits, geno.select("subject_id"), 1)
     dosage[4] = np.delete(dosage, 4).mean()
     assert association.masked_cross(*masked, ["y"]).first().v == pytest.approx(dosage @ trait, rel=1e-6)
+
+
+def test_tiles_take_one_shuffle_and_the_largest_copy(spark):
+    rows = [(1, 0, None), (1, 0, 1.0), (1, 0, 2.0), (1, 0, 2.0), (1, 1, None), (1, 1, None), (1, 5, 0.0), (2, 3, 1.0)]
+    geno = spark.createDataFrame(rows, "subject_id long, variant_id long, dosage double")
+    tiles = to_subject_major(geno, 4)
+    planned = tiles._jdf.queryExecution().executedPlan().toString()  # before it runs, a plan shows each exchange once
+    assert planned.count("Exchange hashpartitioning") == 1, planned
+    found = {(r.subject_id, r.tile): (r.variant_ids, r.dosages) for r in tiles.collect()}
+    assert found == {(1, 0): ([0, 1], [2.0, None]), (1, 1): ([5], [0.0]), (2, 0): ([3], [1.0])}
