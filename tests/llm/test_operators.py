@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,3 +303,30 @@ def test_scores_tell_domains_apart(spark, docs, empty):
     assert found[500].score is None and found[501].n_tokens == 0
     assert lm_scoring.score(docs, target.limit(0)).count() == docs.count()
     assert lm_scoring.score(empty, target).count() == 0
+
+
+def test_scores_equal_exact_counts(spark, docs, monkeypatch):
+    """All words and pairs count: 70 000 words, each twice, in several blocks; nulls and repeats."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 9000)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(70_000)] * 2
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i * 1000 : i * 1000 + 1000])) for i in range(140)] + by_text(docs)
+    target = {i for i in range(0, 140, 3)} | {4}
+    models = []
+    for part in ([t for _, t in rows], [t for d, t in rows if d in target]):
+        coded = [["", *(t or "").encode().lower().split()] for t in part]
+        models.append((Counter(w for t in coded if len(t) > 1 for w in t), Counter(p for t in coded for p in zip(t, t[1:]))))
+    size = len(models[0][0]) - 1
+
+    def loss(text, one, two):
+        own, n = ["", *(text or "").encode().lower().split()], sum(one.values()) - one[""]
+        each = [0.6 * two[a, b] / max(one[a], 1) + 0.4 * (one[b] + 1) / (n + size + 1) for a, b in zip(own, own[1:])]
+        return -sum(map(math.log2, each)) / max(len(each), 1)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lm_scoring.score(df, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.background_loss, r.target_loss) for r in found), key=repr)
+    expected = sorted(((d, len((t or "").encode().split()), loss(t, *models[0]), loss(t, *models[1])) for d, t in rows), key=repr)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert all(g[2:] == pytest.approx(e[2:], rel=1e-9) for g, e in zip(got, expected))
