@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and terms that disclose what the patterns protect.
 
 Information-theoretic sanitisation. A value found by a pattern is a protected entity e. A term t
-(three or more letters or digits, lower-cased) within `CONTEXT` characters of e co-occurs with
-it. Over the N documents of the corpus,
+(three or more letters or digits, lower-cased) co-occurs with e in every document that holds
+both, t outside of protected spans. Over the N documents of the corpus,
 
     PMI(t; e) = log(N n(t, e) / (n(t) n(e)))        IC(e) = log(N / n(e))
 
 where n counts documents. A term seen with e in at least `MIN_SUPPORT` documents discloses e if
-PMI >= `ALPHA` * IC: knowing t then tells that share of what e itself would tell. Disclosing
-terms near e become spans of kind `term`; in the sanitised text they are removed if they tell all
-of it (PMI >= IC), else generalised to [word] or [number]. Documents without an entity are left
-alone. All steps are built-in functions; counts are summed before each exchange.
+PMI >= `ALPHA` * IC: knowing t then tells that share of what e itself would tell. Every mention
+of a disclosing term, in any document, becomes a span of kind `term`; in the sanitised text it is
+removed if the term tells all of some entity (PMI >= IC), else generalised to [word] or [number].
+All steps are built-in functions. Entities and terms are counted by 64-bit hashes and summed
+before each exchange, so that a frequent one is a row a task.
 
 Nulls and ties: a null text is empty. Rows that repeat a document count as documents of their
 own; each is returned, with the same spans. A null doc_id is a document like others. Terms that
@@ -31,9 +32,9 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}]{3,}"
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT = 60
+#: Stands for a protected span and takes the letters and digits that touch it along.
+MASK = "\uFFFF"
 ALPHA = 0.8
 MIN_SUPPORT = 2
 BROADCAST_ROWS = 500_000
@@ -61,57 +62,104 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), card).otherwise(none), phone)
 
 
+def _forms(text: Column) -> Column:
+    """Distinct runs of three or more letters or digits, as written."""
+    return F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+", -1)), lambda w: F.char_length(w) >= 3)
+
+
+def _hashes(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(_forms(text), lambda w: F.xxhash64(F.lower(w))))
+
+
+def _unprotected(text: Column, base: Column) -> Column:
+    """Text without protected spans and the letters and digits that touch them."""
+    plain = F.translate(text, MASK, " ")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate(
+        ordered(base, KINDS), start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(MASK)).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.char_length(plain))),
+    )
+    return F.regexp_replace(masked, rf"[\p{{L}}\p{{N}}]*+{MASK}[\p{{L}}\p{{N}}]*+", " ")
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, h, base, near): documents with protected spans and the terms near them."""
+    """Stored (doc_id, h, base, entities, terms, hidden): documents with protected spans.
+
+    Hashes of entities, of terms outside of the spans, and of those that occur in spans alone.
+    """
     rows = docs.select("doc_id", F.xxhash64("text", F.lit(6)).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).where("size(base) > 0")
-
-    def around(s):
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        part = F.substring(F.col("text"), first + 1, s["end"] - first + CONTEXT)
-        found = F.transform(spans(part, TERM, "term"), lambda t: F.struct(
-            (t["start"] + first).alias("start"), (t["end"] + first).alias("end"), F.lower(t["value"]).alias("term"),
-            s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"),
-        ))
-        # Not the entity itself, nor a word cut off by the edge of the context.
-        edge = first + F.char_length(part)
-        return F.filter(found, lambda t: ((t["end"] < edge) | (edge >= F.char_length(F.col("text")))) & ((t["start"] > first) | (first == 0)))
-
-    near = F.flatten(F.transform("base", around))
-    free = F.filter(near, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return materialise(rows.select("doc_id", "h", "base", free.alias("near")))
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    rows = rows.select("doc_id", "h", "base", entities.alias("entities"), _hashes(F.col("text")).alias("every"), _hashes(_unprotected(F.col("text"), F.col("base"))).alias("terms"))
+    return materialise(rows.select("doc_id", "h", "base", "entities", "terms", F.array_except("every", "terms").alias("hidden")))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """(kind, entity, term, share): terms that tell at least `alpha` of an entity; share is PMI / IC."""
+    """(term, share): hashes of terms that tell at least `alpha` of an entity; share is the highest PMI / IC."""
     total = docs.count()
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"))))).alias("e"))
-    n_e = entities.groupBy("e.kind", "e.entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {support}")
-    met = found.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["entity"].alias("entity"), t["term"].alias("term"))))).alias("m"))
-    n_te = met.groupBy("m.kind", "m.entity", "m.term").agg(F.count("*").alias("n_te")).where(f"n_te >= {support}")
-    pairs = materialise(n_te.join(n_e, ["kind", "entity"]))
-    terms = small(pairs.select("term").distinct(), BROADCAST_ROWS)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term"))
-    n_t = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {support}")
+    n_e = materialise(n_e)
+    met = found.select(F.explode("entities").alias("entity"), "terms").join(small(n_e.select("entity"), BROADCAST_ROWS), "entity")
+    n_te = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {support}")
+    pairs = materialise(n_te.join(n_e, "entity"))
+    words = docs.select(F.explode(_hashes(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    words = words.unionByName(found.select(F.explode("hidden").alias("term"), F.lit(-1).alias("n")))
+    n_t = words.groupBy("term").agg(F.sum("n").alias("n_t")).where(f"n_t >= {support}")
     information = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / F.col("n_t") / F.col("n_e"))
-    return pairs.join(n_t, "term").where(information > 0).withColumn("share", pmi / information).where(F.col("share") >= alpha).select("kind", "entity", "term", "share")
+    tells = pairs.join(n_t, "term").where(information > 0).withColumn("share", pmi / information).where(F.col("share") >= alpha)
+    return tells.groupBy("term").agg(F.max("share").alias("share"))
+
+
+def mentions(docs: DataFrame, tells: DataFrame) -> DataFrame:
+    """(doc_id, h, spans): every mention of a term of `tells`; value: remove or generalise."""
+    keyed = docs.select("doc_id", F.xxhash64("text", F.lit(6)).alias("h"), "text")
+    forms = keyed.select("doc_id", "h", F.explode(_forms(F.col("text"))).alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
+    hits = forms.join(tells, "term").groupBy("doc_id", "h").agg(
+        F.collect_set("form").alias("forms"), F.collect_set(F.when(F.col("share") >= 1, F.col("form"))).alias("whole")
+    )
+    hits = small(materialise(hits), BROADCAST_ROWS)
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
+    both = keyed.alias("a").join(hits.alias("b"), same).select("a.doc_id", "a.h", "a.text", "b.forms", "b.whole").dropDuplicates(["doc_id", "h"])
+    # A form is letters and digits: nothing in it needs an escape.
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("forms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    between = F.transform(F.split("text", pattern, -1), F.char_length)
+    rows = both.select("doc_id", "h", "whole", F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"), between.alias("gaps"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    places = F.aggregate(
+        F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda gap, w: F.struct(gap.alias("gap"), w.alias("w"))), start,
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + F.char_length(x["w"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(
+                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.char_length(x["w"])).alias("end"), F.lit("term").alias("kind"),
+                F.when(F.array_contains("whole", x["w"]), "remove").otherwise("generalise").alias("value"),
+            ))).cast(SPAN).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return rows.select("doc_id", "h", places.alias("spans"))
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """doc_id, h, base and added spans (value of an added span: remove or generalise); one row per row of docs."""
     found = located(docs)
     tells = small(materialise(disclosing(docs, found)), BROADCAST_ROWS)
-    places = found.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("near").alias("t")).select("doc_id", "h", "t.*")
-    hits = places.join(tells, ["kind", "entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
-    action = F.when(F.col("share") >= 1, "remove").otherwise("generalise")
-    added = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), action.alias("value"))).alias("added"))
+    marked = materialise(mentions(docs, tells))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
     once = found.select("doc_id", "h", "base").dropDuplicates(["doc_id", "h"])
-    both = once.alias("a").join(added.alias("b"), same, "left").select("a.doc_id", "a.h", "a.base", "b.added")
-    both = small(materialise(both), BROADCAST_ROWS)
-    rows = docs.select("doc_id", F.xxhash64("text", F.lit(6)).alias("h"))
     none = F.array().cast(SPAN)
+    both = once.alias("a").join(marked.alias("b"), same, "full").select(
+        F.when(F.col("a.h").isNull(), F.col("b.doc_id")).otherwise(F.col("a.doc_id")).alias("doc_id"), F.coalesce("a.h", "b.h").alias("h"),
+        F.coalesce("a.base", none).alias("base"), F.coalesce("b.spans", none).alias("spans"),
+    )
+    free = F.filter("spans", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    both = small(materialise(both.select("doc_id", "h", "base", free.alias("added"))), BROADCAST_ROWS)
+    rows = docs.select("doc_id", F.xxhash64("text", F.lit(6)).alias("h"))
     return rows.alias("a").join(both.alias("b"), same, "left").select(
         "a.doc_id", "a.h", F.coalesce("b.base", none).alias("base"), F.coalesce("b.added", none).alias("added")
     )

@@ -330,3 +330,12 @@ def test_scores_equal_exact_counts(spark, docs, monkeypatch):
     expected = sorted(((d, len((t or "").encode().split()), loss(t, *models[0]), loss(t, *models[1])) for d, t in rows), key=repr)
     assert [g[:2] for g in got] == [e[:2] for e in expected]
     assert all(g[2:] == pytest.approx(e[2:], rel=1e-9) for g, e in zip(got, expected))
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = " ".join(["common words here today"] * 30)
+    rows = [(i, f"Zorgle {far} q@x.example") for i in range(3)] + [(3, f"{far} ZORGLE, again zorgle"), (4, None)] + [(i, far) for i in range(5, 200)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.find_personal(df).collect()}
+    assert found[0] == [(0, 6)] and found[3] == [(len(far) + 1, len(far) + 7), (len(far) + 15, len(far) + 21)]
+    assert not any(found[i] for i in range(4, 200))
