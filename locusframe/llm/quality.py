@@ -7,7 +7,7 @@ n_repeat_words and n_words, turned into rates. The base rule fails texts of fewe
 The forest: `TREES` trees of random splits, each over a seeded sample of `SAMPLE` rows from the
 fitting table. Short average path lengths mark anomalous documents. The fitting table is the
 labelled documents, `FIT_ROWS` of them at most, chosen by a seeded hash of the id; this is the
-documented bound of the fit. Trees grow on the good ones, with cuts over the range of good and bad. The threshold is the least score above
+documented bound of the fit; of rows that repeat an id, the one of least statistics takes part. Trees grow on the good ones, with cuts over the range of good and bad. The threshold is the least score above
 which at most `GOOD_LOST` of the good labelled rows lie, so that clean documents stay. Without
 good labelled rows there is no forest and the base rule alone decides.
 
@@ -156,7 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[F
         .orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(fit_rows)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _table(known, ["doc_id", "_quality"]).where(~base_failed()).drop("doc_id").orderBy("_quality", *STATISTICS).limit(fit_rows).toPandas()
+    passed = _table(known, ["doc_id", "_quality"]).where(~base_failed())
+    # One row an id, so that rows which repeat it push no other id out: at most `fit_rows`.
+    once = passed.groupBy("doc_id", "_quality").agg(F.min(F.struct(*STATISTICS)).alias("_least")).select("_quality", "_least.*")
+    rows = once.orderBy("_quality", *STATISTICS).toPandas()
     good = rows[rows["_quality"] == 1][STATISTICS].to_numpy(np.float64)
     if not len(good):
         return None

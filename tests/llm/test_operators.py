@@ -339,3 +339,12 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.find_personal(df).collect()}
     assert found[0] == [(0, 6)] and found[3] == [(len(far) + 1, len(far) + 7), (len(far) + 15, len(far) + 21)]
     assert not any(found[i] for i in range(4, 200))
+
+
+def test_repeated_ids_push_no_row_out_of_the_fit(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(100 + i))) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:5] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5)) for i in range(40)], "doc_id long, quality int")
+    repeated, single = quality.fit(df, labels, 40), quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, 40)
+    assert repeated is not None and repeated[1] == single[1]
