@@ -12,7 +12,8 @@ consecutive words of an item, or all of an item with fewer. The steps, all on bu
     lists of the other stored terms, shifted likewise, are intersected with them.
 4.  What is left is confirmed on the words of the text.
 
-`proximity` answers from the same index which documents have all terms within a span.
+`proximity` answers from an index of all terms of the phrases asked which documents have them within
+a span; the index of step 2 has too few terms for it, and no query returns it.
 
 Nulls and ties: a null text or an item without words has no windows and no hits; a null doc_id
 is a document like others. Rows that repeat (doc_id, text) share their findings and are each
@@ -154,16 +155,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 
 def proximity(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
-    """(phrase, doc_id, h, at): places of a phrase's first-listed term with all its terms within `span` words.
+    """(phrase, doc_id, h, at): places of a phrase's first-listed term in a stretch of `span` words with all its terms.
 
-    phrases: (phrase, terms). Put the rarest term first: its list drives the search.
+    phrases: (phrase, terms). The index must hold postings of all their terms.
     """
     terms = phrases.select("phrase", F.array_distinct("terms").alias("t")).select("phrase", F.size("t").alias("n"), F.posexplode("t").alias("place", "term"))
     lists = index.join(small(terms, BROADCAST_ROWS), "term").select("phrase", "n", "place", "doc_id", "h", "at").distinct()
-    lead, rest = lists.where("place = 0").alias("a"), lists.alias("b")
+    first, rest = lists.alias("a"), lists.alias("b")
+    # A stretch that has all terms can start at one of them.
     near = (
         (F.col("a.phrase") == F.col("b.phrase")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
-        & (F.abs(F.col("a.at") - F.col("b.at")) < span)
+        & (F.col("b.at") >= F.col("a.at")) & (F.col("b.at") - F.col("a.at") < span)
     )
-    met = lead.join(rest, near).groupBy("a.phrase", "a.n", "a.doc_id", "a.h", "a.at").agg(F.count_distinct("b.place").alias("met"))
-    return met.where("met = n").select("phrase", "doc_id", "h", "at")
+    met = first.join(rest, near).groupBy("a.phrase", "a.n", "a.doc_id", "a.h", "a.at").agg(
+        F.count_distinct("b.place").alias("met"), F.collect_set(F.when(F.col("b.place") == 0, F.col("b.at"))).alias("leads")
+    )
+    return met.where("met = n").select("phrase", "doc_id", "h", F.explode("leads").alias("at")).distinct()

@@ -348,3 +348,11 @@ def test_repeated_ids_push_no_row_out_of_the_fit(spark):
     labels = spark.createDataFrame([(i, int(i >= 5)) for i in range(40)], "doc_id long, quality int")
     repeated, single = quality.fit(df, labels, 40), quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, 40)
     assert repeated is not None and repeated[1] == single[1]
+
+
+def test_proximity_covers_the_whole_stretch(spark):
+    docs = spark.createDataFrame([(1, "b x x a x x c"), (2, "b x a x c")], "doc_id long, text string")
+    rows = decontaminate.split(decontaminate.keyed(docs))
+    index = decontaminate.build_index(rows, spark.createDataFrame([("a",), ("b",), ("c",)], "term string"))
+    phrases = spark.createDataFrame([("p", ["a", "b", "c"])], "phrase string, terms array<string>")
+    assert [(r.doc_id, r["at"]) for r in decontaminate.proximity(index, phrases, 5).collect()] == [(2, 2)]
