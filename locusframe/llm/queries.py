@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, chat, decontaminate, licenses, line_dedup, lm_scoring, near_dup, pii, quality, secrets
+from locusframe.llm import (
+    bpe, chat, decontaminate, divergence, licenses, line_dedup, lm_scoring, near_dup, pii, quality, secrets,
+)
 from locusframe.session import tune
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,11 +70,15 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cross_entropy_difference, op2_decontaminate, op3_secrets, op4_bpe, op5_near_duplicates, op6_personal_data,
-        op7_chat, op8_quality, op9_line_dedup, op10_licenses,
+        op7_chat, op8_quality, op9_line_dedup, op10_licenses, op12_divergence,
     )
 }
 
@@ -173,10 +179,49 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_templates
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+_OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+),
+gl AS (SELECT lang, sum(total)::HUGEINT AS total FROM g GROUP BY lang),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS q FROM lc JOIN gl USING (lang) JOIN v USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 CHECKS: dict[str, str] = {
     "op2_decontaminate": _OP2,
     "op5_near_duplicates": _OP5,
     "op7_chat": _OP7,
     "op9_line_dedup": _OP9,
     "op10_licenses": _OP10,
+    "op12_divergence": _OP12,
 }
