@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import (
     bpe, chat, decontaminate, divergence, licenses, line_dedup, lm_scoring, near_dup, pii, quality, secrets, spelling,
+    style_tree,
 )
 from locusframe.session import tune
 
@@ -78,11 +79,15 @@ def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergences(_table(spark, folder, "documents"))
 
 
+def op13_html(spark: SparkSession, folder: str) -> DataFrame:
+    return style_tree.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cross_entropy_difference, op2_decontaminate, op3_secrets, op4_bpe, op5_near_duplicates, op6_personal_data,
-        op7_chat, op8_quality, op9_line_dedup, op10_licenses, op11_spelling, op12_divergence,
+        op7_chat, op8_quality, op9_line_dedup, op10_licenses, op11_spelling, op12_divergence, op13_html,
     )
 }
 
@@ -251,6 +256,16 @@ r AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
+# The pages of the given tables have their text in one article of h1, p, b and br, so SQL can name what must stay there.
+_OP13 = r"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS body FROM pages),
+b AS (SELECT r, regexp_split_to_array(body, '</?(?:p|h1)>') AS parts FROM a),
+c AS (SELECT r, i, regexp_replace(regexp_replace(parts[i], '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS part FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM b)),
+d AS (SELECT r, i, regexp_replace(replace(replace(replace(replace(part, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS part FROM c),
+e AS (SELECT r, string_agg(trim(regexp_replace(part, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY i) AS text FROM d WHERE regexp_matches(part, '\S') GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM a LEFT JOIN e USING (r)
+"""
+
 CHECKS: dict[str, str] = {
     "op2_decontaminate": _OP2,
     "op5_near_duplicates": _OP5,
@@ -259,4 +274,5 @@ CHECKS: dict[str, str] = {
     "op10_licenses": _OP10,
     "op11_spelling": _OP11,
     "op12_divergence": _OP12,
+    "op13_html": _OP13,
 }

@@ -233,7 +233,7 @@ def variants(docs: DataFrame) -> DataFrame:
     table = words(docs)
     size = F.char_length("word")
     pairs = trie_pairs(table.where(size <= LONG)).unionByName(variant_pairs(table.where(size >= LONG)))
-    pairs = materialise(pairs.distinct())
+    pairs = materialise(pairs.select(F.least("id", "near").alias("id"), F.greatest("id", "near").alias("near")).distinct())
     links = pairs.unionByName(pairs.select(F.col("near").alias("id"), F.col("id").alias("near")))
     named = links.join(table.select(F.col("id").alias("near"), F.col("word").alias("near_word"), F.col("n").alias("near_n")), "near")
     best = named.groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near_word").alias("word"), "near")).alias("best"))
