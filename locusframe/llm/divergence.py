@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,29 +97,57 @@ def _folded(batches):
     yield from held.spill()
 
 
+def _met(batch: pa.RecordBatch, least: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Sorted stripes with those of a key added up: the complete ones of `least` documents or more, and the last key's."""
+    n = batch.num_rows
+    first = np.ones(n, bool)
+    for name in ("lang", "term"):
+        column = batch[name]
+        changed = pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        first[1:] = changed if name == "lang" else first[1:] | changed
+    starts = np.flatnonzero(first)
+    documents = np.add.reduceat(batch["documents"].to_numpy(), starts)
+    stay = documents >= least
+    stay[-1] = True  # its key may go on in the next batch
+    place = np.cumsum(stay) - 1
+    group = np.cumsum(first) - 1
+    of = np.repeat(group, pc.list_value_length(batch["sources"]).to_numpy(zero_copy_only=False))
+    sources = batch["sources"].flatten().dictionary_encode()
+    code, count = sources.indices.to_numpy().astype(np.int64), batch["counts"].flatten().to_numpy()
+    kept = stay[of]
+    key = place[of[kept]] * len(sources.dictionary) + code[kept]
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[kept][order]
+    cells = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    totals, key = np.add.reduceat(count, cells), key[cells]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key // len(sources.dictionary), minlength=int(stay.sum())))]).astype(np.int32)
+    rows = pa.array(starts[stay])
+    out = pa.RecordBatch.from_arrays(
+        [
+            batch["lang"].take(rows), batch["term"].take(rows), pa.array(documents[stay]),
+            pa.ListArray.from_arrays(ends, sources.dictionary.take(pa.array(key % len(sources.dictionary)))), pa.ListArray.from_arrays(ends, pa.array(totals)),
+        ],
+        schema=_STRIPE,
+    )
+    return out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1)
+
+
 def _merged(least: int):
     """Sorted stripes to one stripe a key, of terms in at least `least` documents."""
 
     def run(batches):
-        key, documents, counts = None, 0, {}
-        out: list[tuple] = []
-        for batch in slices(batches, 20_000):
-            columns = [c.to_pylist() for c in batch.columns]
-            for lang, term, n, sources, values in zip(*columns, strict=True):
-                if (lang, term) != key:
-                    if documents >= least:
-                        out.append((*key, documents, list(counts), list(counts.values())))
-                    key, documents, counts = (lang, term), 0, {}
-                documents += n
-                for s, v in zip(sources, values, strict=True):
-                    counts[s] = counts.get(s, 0) + v
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _STRIPE, strict=True)], schema=_STRIPE)
-                out = []
-        if documents >= least:
-            out.append((*key, documents, list(counts), list(counts.values())))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _STRIPE, strict=True)], schema=_STRIPE)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.cast(_STRIPE)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            whole, held = _met(batch, least)
+            if whole.num_rows:
+                yield whole
+        if held is not None and held["documents"][0].as_py() >= least:
+            yield held
 
     return run
 
