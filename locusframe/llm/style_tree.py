@@ -12,8 +12,9 @@ noise if it and all that lies below stay under a threshold, and its text goes fr
 A tree can judge only what several pages show. Branches whose tag, role or class says what they are
 (menus, forms, comments, adverts: the fixed lists below) therefore go whatever their importance, as
 do scripts, styles and the like; within an element marked as the article a branch must be the same
-on practically all pages to go. Pages of one host with the same text count once, a host without a
-name is no site, and elements on fewer than `MIN_PAGES` pages have importance 1.
+on practically all pages to go. Pages of one host with the same article (or, where none is marked,
+the same text outside scripts, menus and the like) count as one page, a host without a name is no
+site, and elements on fewer than `MIN_PAGES` pages have importance 1.
 
 A null or empty html gives ''. Rows that repeat are returned as often. A page of any length is parsed
 whole in one pass; elements deeper than DEPTH count as their ancestor there, with their text. An
@@ -27,12 +28,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import slices, tidy
+from locusframe.llm.common import prepare, slices, small, tidy, within
 from locusframe.llm.line_dedup import host_of
 from locusframe.session import materialise
 
@@ -44,7 +47,9 @@ MIN_PAGES = 6
 #: Levels of the tree.
 DEPTH = 24
 #: (element, word) entries a task holds before it passes them on.
-HELD = 300_000
+HELD = 400_000
+#: Groups of copies (16 bytes each), and noise elements (9 bytes), that may travel to the tasks; more are joined by shuffle.
+COPIES, LOW = 2_000_000, 2_000_000
 
 # Names of HTML, and names that pages give to what is not their article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -226,92 +231,96 @@ def _keyed(host: str, nodes: list[Node]) -> dict[int, tuple[int, int, int]]:
     return found
 
 
-PARSED = "row long, page_id long, url string, host string, digest long, elements array<struct<element:long,above:long,depth:int,style:long>>, blocks array<struct<element:long,named:boolean,main:boolean,text:string>>"
+def _spread_schema():
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.schema(list(zip(["element", "above", "depth", "styled", "item", "c", "log"], kinds, strict=True)))
 
 
-def _parsed_type():
-    element = pa.struct([("element", pa.int64()), ("above", pa.int64()), ("depth", pa.int32()), ("style", pa.int64())])
-    block = pa.struct([("element", pa.int64()), ("named", pa.bool_()), ("main", pa.bool_()), ("text", pa.string())])
-    return pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("digest", pa.int64()), ("elements", pa.list_(element)), ("blocks", pa.list_(block))])
-
-
-def _parsed(batches):
-    schema = _parsed_type()
-    for batch in slices(batches, 200):
-        rows = []
-        for row, page_id, url, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes, blocks = parse(page)
-            elements = _keyed(host, nodes)
-            rows.append({
-                "row": row, "page_id": page_id, "url": url, "host": host,
-                "digest": _hash(*[t for n, t in blocks if not n.noise]),
-                "elements": [{"element": e, "above": a, "depth": d, "style": s} for e, (a, d, s) in elements.items()],
-                "blocks": [{"element": n.key, "named": n.noise, "main": n.main, "text": t} for n, t in blocks],
-            })
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    """Each page's elements and blocks. Written, with a number for each row."""
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    )
-    return materialise(rows.mapInArrow(tidy(_parsed), PARSED))
+SPREAD = "element long, above long, depth int, styled boolean, item long, c double, log double"
 
 
 def _spread(batches):
-    """How often each word stands in an element, summed over the pages of a task: c, and c * ln c a page."""
-    held: dict[tuple[int, str], list] = {}
+    """Of each element, its styles and words as a task's pages show them: c pages or times, and the sum of n ln n over pages.
+
+    A page counts by its weight, 1 / k for each of k copies.
+    """
+    held: dict[int, tuple[int, int, dict, dict]] = {}
+    size = 0
 
     def out():
-        columns = [[k[0] for k in held], [_hash(k[1]) for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["element", "word", "c", "log"])
+        rows = ([], [], [], [], [], [], [])
+        for element, (above, depth, styles, words) in held.items():
+            for styled, entries in ((True, styles), (False, words)):
+                n = len(entries)
+                items = list(entries) if styled else [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in entries]
+                own = ([element] * n, [above] * n, [depth] * n, [styled] * n, items, [e[0] for e in entries.values()], [e[1] for e in entries.values()])
+                for column, values in zip(rows, own, strict=True):
+                    column += values
         held.clear()
+        for start in range(0, len(rows[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 100_000], f.type) for c, f in zip(rows, _spread_schema(), strict=True)], schema=_spread_schema())
 
     for batch in slices(batches, 200):
-        for blocks in batch.column(0).to_pylist():
-            own: Counter = Counter()
-            for b in blocks:
-                own.update([(b["element"], w) for w in b["text"].split()])
-            for key, c in own.items():
-                entry = held.get(key)
-                if entry is None:
-                    entry = held[key] = [0, 0.0]
-                entry[0] += c
-                if c > 1:
-                    entry[1] += c * math.log(c)
-            if len(held) >= HELD:
+        for host, weight, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes, blocks = parse(page)
+            for element, (above, depth, style) in _keyed(host, nodes).items():
+                entry = held.setdefault(element, (above, depth, {}, {}))[2].setdefault(style, [0.0, 0.0])
+                entry[0] += weight
+            own: dict[int, list] = {}
+            for node, text in blocks:
+                own.setdefault(node.key, []).extend(text.split())
+            for element, found in own.items():
+                words = held[element][3]
+                size -= len(words)
+                for word, n in Counter(found).items():
+                    entry = words.get(word)
+                    if entry is None:
+                        words[word] = [weight * n, weight * n * math.log(n) if n > 1 else 0.0]
+                    else:
+                        entry[0] += weight * n
+                        if n > 1:
+                            entry[1] += weight * n * math.log(n)
+                size += len(words)
+            if size >= HELD:
                 yield from out()
+                size = 0
     yield from out()
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+    )
+
+
+def _weighted(rows: DataFrame) -> DataFrame:
+    """host, weight, html of the pages of sites; the weight is 1 / k where k pages of a host have the same article."""
+    marked = F.regexp_extract("html", r"(?is)<(article|main)[\s>].*</\1\s*>", 0)
+    bare = F.regexp_replace("html", r"(?is)<(script|style|nav|header|footer|aside|form)[\s>].*?</\1\s*>|<[^>]*>|\s+", "")
+    sites = rows.where("host <> ''").select("host", "html", F.xxhash64("host", F.when(marked != "", marked).otherwise(bare)).alias("digest"))
+    copies = materialise(sites.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1"))
+    return sites.join(small(copies, COPIES), "digest", "left").select("host", (1 / F.coalesce("k", F.lit(1))).alias("weight"), "html")
+
+
 def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """element, above, depth, m, importance, most: of each element of the style trees of `parsed` pages. Written.
+    """element, above, depth, m, importance, most: of each element of the style trees of `pages`. Written.
 
     `most` is the largest importance of an element and all that lies below it.
     """
-    sites = pages.where("host <> ''")
-    keyed = sites.select("host", "digest", "row")
-    copies = keyed.join(keyed.groupBy("host", "digest").agg(F.min("row").alias("first")), ["host", "digest"]).where("row <> first").select("row")
-    sites = sites.join(copies, "row", "left_anti")
-    styles = sites.select(F.explode("elements").alias("e")).groupBy("e.element", "e.above", "e.depth", "e.style").agg(F.count("*").alias("n"))
-    shown = styles.groupBy("element", "above", "depth").agg(
-        F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("logs")
+    spread = _weighted(_rows(pages)).mapInArrow(tidy(_spread), SPREAD)
+    spread = spread.groupBy("element", "above", "depth", "styled", "item").agg(F.sum("c").alias("c"), F.sum("log").alias("log"))
+    style, c = F.col("styled"), F.col("c")
+    shown = spread.groupBy("element", "above", "depth").agg(
+        F.sum(F.when(style, c)).alias("m"), F.sum(F.when(style, 1)).alias("styles"), F.sum(F.when(style, c * F.log("c"))).alias("logs"),
+        F.sum(F.when(~style, F.log("c") - F.col("log") / c)).alias("h"), F.sum(F.when(~style, 1)).alias("words"),
     )
-    words = sites.select("blocks").mapInArrow(tidy(_spread), "element long, word long, c long, log double")
-    spread = words.groupBy("element", "word").agg(F.sum("c").alias("c"), F.sum("log").alias("log"))
-    spread = spread.groupBy("element").agg(F.sum(F.log("c") - F.col("log") / F.col("c")).alias("h"), F.count("*").alias("words"))
-    base, enough = F.log("m"), (F.col("m") >= max(min_pages, 2))
-    tree = shown.join(spread, "element", "left").select(
-        "element", "above", "depth", "m", "styles",
+    m, base, enough = F.round("m", 6), F.log("m"), (F.round("m", 6) >= max(min_pages, 2))
+    tree = materialise(shown.select(
+        "element", "above", "depth", m.alias("m"), "styles", enough.alias("enough"),
         F.when(enough, (base - F.col("logs") / F.col("m")) / base).otherwise(1.0).alias("presentation"),
         F.when(enough & F.col("words").isNotNull(), 1 - F.col("h") / F.col("words") / base).otherwise(F.when(F.col("words").isNotNull(), 1.0)).alias("content"),
-        enough.alias("enough"),
-    )
-    tree = materialise(tree)
+    ))
     deepest = tree.agg(F.max("depth")).first()[0]
     below, done = None, []
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -319,7 +328,7 @@ def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         if below is None:
             level = level.select("*", F.lit(None).cast("double").alias("weighted"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("highest"))
         else:
-            under = below.groupBy("above").agg(F.sum(F.col("m") * F.col("importance")).alias("weighted"), F.sum("m").cast("double").alias("weight"), F.max("most").alias("highest"))
+            under = below.groupBy("above").agg(F.sum(F.col("m") * F.col("importance")).alias("weighted"), F.sum("m").alias("weight"), F.max("most").alias("highest"))
             level = level.join(under.withColumnRenamed("above", "element"), "element", "left")
         own = F.coalesce("content", F.lit(0.0)) * F.col("m") + F.col("weighted")
         children = own / (F.col("weight") + F.when(F.col("content").isNotNull(), F.col("m")).otherwise(0))
@@ -335,18 +344,74 @@ def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return out
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars; n_tree and n_named: blocks that the tree finds unimportant, and that names alone removed."""
-    whole = parsed(pages)
-    low = importance(whole).where(F.col("most") < NOISE).select("element", "most")
-    shown = whole.where("host <> ''").select("row", F.explode(F.array_distinct("blocks.element")).alias("element"))
-    marks = shown.join(low, "element").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("element", "most"))).alias("low"))
-    joined = whole.join(marks, "row", "left")
-    most = lambda b: F.coalesce(F.col("low")[b["element"]], F.lit(1.0))
-    bound = lambda b: F.when(b["main"], ARTICLE_NOISE).otherwise(NOISE)
-    unimportant = lambda b: most(b) < bound(b)
+PARSED = "row long, page_id long, url string, blocks array<struct<element:long,named:boolean,main:boolean,text:string>>"
+_BLOCK = pa.struct([("element", pa.int64()), ("named", pa.bool_()), ("main", pa.bool_()), ("text", pa.string())])
+_PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(_BLOCK))])
+FOUND = "page_id long, url string, text string, n_chars long, n_tree long, n_named long"
+_FOUND = pa.schema([(n, pa.string() if n in ("url", "text") else pa.int64()) for n in ("page_id", "url", "text", "n_chars", "n_tree", "n_named")])
+
+
+def _blocks(batch: pa.RecordBatch):
+    """page_id, url and the blocks of each page of a batch of _rows."""
+    for page_id, url, host, page in zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True):
+        nodes, blocks = parse(page)
+        _keyed(host, nodes)
+        yield page_id, url, [(n.key if host else None, n.noise, n.main, t) for n, t in blocks]
+
+
+def _parsed(batches):
+    for batch in slices(batches, 200):
+        rows = [(i, u, [dict(zip(("element", "named", "main", "text"), b, strict=True)) for b in blocks]) for i, u, blocks in _blocks(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_PARSED)[1:], strict=True))], schema=_PARSED)
+
+
+def _kept(noise: Broadcast):
+    """Text of each page without the branches in `noise`: sorted elements, and whether they go from articles too."""
+
+    def run(batches):
+        elements, deep = noise.value
+        for batch in slices(batches, 200):
+            rows = []
+            for page_id, url, blocks in _blocks(batch):
+                low = np.zeros(len(blocks), bool)
+                known = np.array([b[0] is not None for b in blocks], bool)
+                if len(elements) and known.any():
+                    keys = np.array([b[0] for b in blocks], np.int64)
+                    at = np.minimum(np.searchsorted(elements, keys), len(elements) - 1)
+                    low = (elements[at] == keys) & (deep[at] | ~np.array([b[2] for b in blocks], bool))
+                text = "\n\n".join(b[3] for b, x in zip(blocks, low, strict=True) if not (b[1] or x))
+                rows.append((page_id, url, text, len(text), int(low.sum()), sum(b[1] and not x for b, x in zip(blocks, low, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+    return run
+
+
+def _joined(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """As _kept, with the noise joined to the pages that show it."""
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "html")
+    whole = materialise(numbered.mapInArrow(tidy(_parsed), PARSED))
+    shown = whole.select("row", F.explode(F.array_distinct("blocks.element")).alias("element"))
+    marks = shown.join(low, "element").groupBy("row").agg(F.collect_list("element").alias("low"), F.collect_list(F.when(F.col("deep"), F.col("element"))).alias("deep"))
+    listed = lambda c, b: F.coalesce(F.array_contains(F.col(c), b["element"]), F.lit(False))
+    unimportant = lambda b: F.when(b["main"], listed("deep", b)).otherwise(listed("low", b))
     text = F.array_join(F.transform(F.filter("blocks", lambda b: ~b["named"] & ~unimportant(b)), lambda b: b["text"]), "\n\n")
-    return joined.select(
+    return whole.join(marks, "row", "left").select(
         "page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"),
         F.size(F.filter("blocks", unimportant)).cast("long").alias("n_tree"), F.size(F.filter("blocks", lambda b: b["named"] & ~unimportant(b))).cast("long").alias("n_named"),
     )
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars; n_tree and n_named: blocks that the tree finds unimportant, and that names alone removed.
+
+    Up to LOW noise elements (9 bytes each) travel to the tasks, which parse the pages once more and
+    move none; beyond that parsed pages are written and meet the elements by joins.
+    """
+    spark, rows = pages.sparkSession, _rows(pages)
+    prepare(spark)
+    low = materialise(importance(pages).where(F.col("most") < NOISE).select("element", (F.col("most") < ARTICLE_NOISE).alias("deep")))
+    if not within(low, LOW):
+        return _joined(rows, low)
+    found = low.toPandas().sort_values("element")
+    noise = spark.sparkContext.broadcast((found["element"].to_numpy(np.int64), found["deep"].to_numpy(bool)))
+    return rows.mapInArrow(tidy(_kept(noise)), FOUND)

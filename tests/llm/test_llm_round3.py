@@ -167,7 +167,10 @@ def site(rng, n, host):
     return rows
 
 
-def test_the_tree_finds_what_a_site_repeats(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_the_tree_finds_what_a_site_repeats(spark, monkeypatch, limit):
+    monkeypatch.setattr(style_tree, "LOW", limit)
+    monkeypatch.setattr(style_tree, "COPIES", limit)
     rows = site(random.Random(1), 30, "one.example")
     lonely = [(100 + i, f"https://few{i}.example/", h) for i, _, h, _ in rows[:3]] + [(200 + i, None, h) for i, _, h, _ in rows]
     copies = [(300 + i, "https://copies.example/", rows[0][2]) for i in range(20)]
@@ -187,7 +190,7 @@ def test_importance_equals_the_definition(spark):
     import math
 
     rows = [(i, "http://h.org/", f"<div class=a>common {'x' * (1 + i % 2)} word{i}</div>" + ("<div class=b>same</div>" if i % 4 else "")) for i in range(8)]
-    tree = style_tree.importance(style_tree.parsed(pages(spark, rows))).collect()
+    tree = style_tree.importance(pages(spark, rows)).collect()
     leaf = sorted((r.m, r.importance) for r in tree if r.depth == 1)
     h = lambda counts, m: -sum(c / sum(counts) * math.log(c / sum(counts), m) for c in counts)
     content = 1 - (h([1] * 8, 8) + 2 * h([1] * 4, 8)) / 11
