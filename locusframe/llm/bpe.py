@@ -42,7 +42,9 @@ COUNTED = 150_000
 #: Letters, digits and signs up to U+024F, and common punctuation: here the pattern of the file, with Unicode
 #: classes of any version, and NFC and lower-casing of any library give the same words.
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa0-įĲ-ɏ‐-‧‰-⁞€]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w\s]|_)+")
+_WORDS = re.compile(r"[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+#: The same words of lower-cased Latin-1 texts, by explicit ranges of letters.
+_LATIN_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\s²³¹¼-¾ªµºß-öø-ÿ]+")
 
 
 def _tokenizer(path: str):
@@ -86,7 +88,9 @@ class Splitter:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if _latin(text) or _PLAIN.fullmatch(text):
+        if _latin(text):
+            return _LATIN_WORDS.findall(text.lower())
+        if _PLAIN.fullmatch(text):
             return _WORDS.findall(text.lower())
         normal = self.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(normal)]
