@@ -43,22 +43,31 @@ TEMPLATES = [
 ]
 
 
-def shingles(words: Column) -> Column:
-    """Hash of each five-word shingle, in order. No lambda names the words, so none works them out anew."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0))
+def shingles(hashes: Column) -> Column:
+    """Hash of each five-word shingle, in order, of the words' hashes."""
+    n = F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(0))
     first, *others = [F.slice(hashes, i + 1, n) for i in range(SHINGLE)]
     for following in others:
         first = F.zip_with(first, following, lambda a, b: F.xxhash64(a, b))
     return first
 
 
+def hashed(text: Column) -> Column:
+    """Hash of each word, in order."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def _shingled(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, s). Hashes are a column of their own, so that they are worked out once for all uses."""
+    return docs.select("doc_id", F.xxhash64("text", F.lit(10)).alias("h"), hashed(F.col("text")).alias("words")).select("doc_id", "h", shingles(F.col("words")).alias("s"))
+
+
 def prepared(templates: DataFrame) -> DataFrame:
     """(template, license, width, shingles) of templates (license, text) that have a shingle."""
     rows = templates.select("license", words_of(F.col("text")).alias("w")).where(f"size(w) >= {SHINGLE}")
     width = F.size("w")
     return rows.select(
-        F.xxhash64("license", "w").alias("template"), "license", width.alias("width"), F.array_distinct(shingles(F.col("w"))).alias("shingles")
+        F.xxhash64("license", "w").alias("template"), "license", width.alias("width"), F.array_distinct(shingles(F.transform("w", lambda w: F.xxhash64(w)))).alias("shingles")
     ).distinct()
 
 
@@ -70,28 +79,32 @@ def bands(found: Column) -> Column:
     )
 
 
-def _windows(found: Column, width: int) -> Column:
-    """Windows of 2 * width words, every width words, as (width, first word, shingles)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(found) - 1, F.lit(width)),
-        lambda i: F.struct(F.lit(width).alias("width"), i.alias("word"), F.slice(found, i + 1, 2 * width - (SHINGLE - 1)).alias("w")),
-    )
+def _held(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, h, width, at): windows, by number, with a shingle of a template of that width.
+
+    Outer explodes keep the optimiser from working the shingles out once more to test for empty ones.
+    """
+    theirs = known.select("width", F.explode("shingles").alias("x")).distinct()
+    found = _shingled(docs).select("doc_id", "h", F.posexplode_outer("s").alias("pos", "x"))
+    met = found.join(small(theirs, BROADCAST_ROWS), "x")
+    last = F.floor(F.col("pos") / F.col("width")).cast("int")
+    before = F.when((F.col("pos") >= F.col("width")) & (F.col("pos") % F.col("width") + SHINGLE <= F.col("width")), last - 1)
+    return met.select("doc_id", "h", "width", F.explode(F.array(last, before)).alias("at")).where("at IS NOT NULL").distinct()
 
 
 def matches(docs: DataFrame, templates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, h, license, template, word, shared, size): windows that hold a template."""
+    """(doc_id, h, license, template, word, shared, size): windows that hold a template.
+
+    Shingles are worked out once for all texts, and again only for texts that share one with a template.
+    """
     known = materialise(prepared(templates))
-    widths = sorted(r.width for r in known.select("width").distinct().collect())  # one per length of a template
-    every = [r.s for r in known.select(F.explode("shingles").alias("s")).distinct().collect()]  # the templates' own shingles
-    empty = F.array().cast("array<struct<width:int,word:int,w:array<bigint>>>")
-    split = docs.select("doc_id", F.xxhash64("text", F.lit(10)).alias("h"), words_of(F.col("text")).alias("w"))
-    rows = split.select("doc_id", "h", shingles(F.col("w")).alias("s"))
-    wanted = F.array(*[F.lit(x) for x in every]) if every else F.array().cast("array<bigint>")
-    rows = rows.where(F.arrays_overlap("s", wanted))
-    windows = [_windows(F.col("s"), w) for w in widths]
-    windows = F.concat(empty, *windows) if windows else empty
-    hit = rows.select("doc_id", "h", F.explode(F.filter(windows, lambda x: F.arrays_overlap(x["w"], wanted))).alias("x"))
-    hit = hit.select("doc_id", "h", "x.width", "x.word", F.array_distinct("x.w").alias("w"))
+    held = materialise(_held(docs, known))
+    texts = docs.select("doc_id", F.xxhash64("text", F.lit(10)).alias("h"), "text")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
+    asked = small(held.select("doc_id", "h").distinct(), BROADCAST_ROWS)
+    split = materialise(texts.alias("a").join(asked.alias("b"), same, "left_semi").select("doc_id", "text").transform(_shingled))
+    window = F.slice("s", F.col("at") * F.col("width") + 1, 2 * F.col("width") - (SHINGLE - 1))
+    hit = split.alias("a").join(held.alias("b"), same).select("a.doc_id", "a.h", "width", (F.col("at") * F.col("width")).alias("word"), F.array_distinct(window).alias("w"))
     banded = hit.withColumn("b", F.explode(bands(F.col("w")))).select("*", "b.band", "b.least").drop("b")
     keys = known.withColumn("b", F.explode(bands(F.col("shingles")))).select("template", "license", "width", "shingles", "b.band", "b.least")
     met = banded.join(small(keys, BROADCAST_ROWS), ["width", "band", "least"])
