@@ -19,32 +19,41 @@ from locusframe.session import materialise, tune
 BROADCAST_ROWS = 2_000_000
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """What stages read, and the whole row in one column, so that no name of it meets a stage's own."""
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return quality.quality(packed, labels, carry=["_row"]).where("kept").select("_row.*")
+    return quality.quality(packed(docs).drop("source"), labels, carry=["_row"]).where("kept").select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat over their source."""
-    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"))
-    return cleaned.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    cleaned = line_dedup.drop_boilerplate(packed(docs), F.col("source"))
+    row = F.col("_row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("text").cast("long"))
+    return cleaned.select(row.alias("_row")).select("_row.*")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id; rows that repeat it stay."""
-    dropped = materialise(near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    return docs.join(small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    own = packed(docs)
+    dropped = materialise(near_dup.near_duplicates(own.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct())
+    return own.join(small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select("_row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    own = packed(docs)
     items = tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.occurrences(docs, items).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
+    found = decontaminate.occurrences(own.select("doc_id", "text"), items).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
     found = small(materialise(found), BROADCAST_ROWS)
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text", F.lit(2)) == F.col("_h"))
-    return docs.join(found, same, "left_anti").select(*docs.columns)
+    return own.join(found, same, "left_anti").select("_row.*")
 
 
 def encode_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

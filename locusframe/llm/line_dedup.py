@@ -7,7 +7,8 @@ compared as they are; lines of white space alone never count and never go.
 
 Nulls and ties: a null host is a host of its own, named ''. A null text has no lines and stays
 null. Rows that repeat a page count as pages of their own, and each is returned. Other columns
-are kept as they are; helper columns use names that start with `_line`.
+are kept as they are whatever their names, but for n_lines and n_dropped, which the result replaces.
+Texts of any length are split whole, and an empty table gives no rows.
 
 Scale: distinct lines of a page are exploded, keyed by (host, 64-bit hash) and summed before the
 exchange, so neither a host nor a line with a third of all rows meets in one task. A host has at
@@ -55,7 +56,9 @@ def drop_boilerplate(pages: DataFrame, host: Column, ratio_percent: int = RATIO_
     per_host = found.groupBy("_line_host").agg(F.collect_list("_line_hash").alias("_line_bad"))
     if travels:
         per_host = F.broadcast(per_host)
-    joined = pages.withColumn("_line_host", F.coalesce(host, F.lit(""))).join(per_host, "_line_host", "left")
+    # The page's own columns wait in one, so that none of their names meets a helper's.
+    own = pages.select(F.coalesce(host, F.lit("")).alias("_line_host"), F.col("text"), F.struct("*").alias("_line_row"))
+    joined = own.join(per_host, "_line_host", "left")
     # The lines of this page that go: a hash lookup in the host's lines, then few to compare with.
     split = joined.withColumn("_line_all", F.split("text", "\n", -1)).withColumn(
         "_line_hit", F.array_intersect(_hashes(F.col("text")), F.coalesce("_line_bad", F.array().cast("array<bigint>")))
@@ -67,6 +70,6 @@ def drop_boilerplate(pages: DataFrame, host: Column, ratio_percent: int = RATIO_
     n_all = F.when(F.col("text").isNull(), 0).otherwise(F.size("_line_all")).cast("long")
     n_stay = F.when(F.col("text").isNull(), 0).otherwise(F.size("_line_stay")).cast("long")
     return cleaned.select(
-        *[F.array_join("_line_stay", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns],
+        *[F.array_join("_line_stay", "\n").alias("text") if c == "text" else F.col("_line_row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")],
         n_all.alias("n_lines"), (n_all - n_stay).alias("n_dropped"),
     )

@@ -12,22 +12,26 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
+def _running(values: Column) -> Column:
+    """Running totals: in each of log2(size) steps, each place adds the one 1, 2, 4, … before it.
+
+    An array that an aggregate lets grow match by match is copied each time: quadratic in a text's matches.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    return F.aggregate(
+        steps, values,
+        lambda acc, k: F.slice(F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), acc), lambda x, y: x + y), F.lit(1), F.size(acc)),
+    )
+
+
 def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """All matches of `pattern`; value is the named group. Only texts that match are cut up."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    lengths = F.transform(whole, F.char_length)
     between = F.transform(F.split(text, pattern, -1), F.char_length)
-    # One pass: `at` is where the next match starts, counted from the text between matches.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    places = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(whole)), F.transform(whole, F.char_length), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n"))),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    ends = _running(F.zip_with(F.slice(between, 1, F.size(whole)), lengths, lambda gap, n: gap + n))
+    places = F.zip_with(ends, lengths, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
     found = F.zip_with(places, value, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 

@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from locusframe.llm import divergence, spelling, style_tree
+import corpus_pipeline
+from locusframe.llm import divergence, line_dedup, spans, spelling, style_tree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, word string, term string, bucket long, value long, `a.b` long"
 
@@ -199,3 +202,34 @@ def test_importance_equals_the_definition(spark):
     children = (6 * 0 + 8 * content) / 14
     assert root.importance == pytest.approx((1 - 0.9**2) * h([6, 2], 8) + 0.9**2 * children, abs=1e-8)
     assert root.most == pytest.approx(max(root.importance, content), abs=1e-8)
+
+
+def test_places_of_many_matches(spark):
+    """10^5 matches in one text, in time that grows with their number, and the limits of a run."""
+    texts = ["é10.0.0.1 " * n for n in (0, 1, 255, 256, 257, 513)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    pattern = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+    for r in rows.select("text", spans.spans(F.col("text"), pattern, "ip").alias("s")).collect():
+        assert [(x.start, x.end) for x in r.s] == [m.span() for m in re.finditer(pattern, r.text or "")]
+    long = spark.createDataFrame([("10.0.0.1 " * 100_000,)], "text string")
+    began = time.time()
+    row = long.select(spans.spans(F.col("text"), pattern, "ip").alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+    assert row.n == 100_000 and (row.last.start, row.last.end) == (899_991, 899_999) and time.time() - began < 20
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    others = ["n_lines", "n_dropped", "_h", "_doc", "_row", "h", "kept", "a.b", "word", "row"]
+    wide = docs.select("*", *[F.when(F.rand() >= 0, i).alias(c) for i, c in enumerate(others)])
+    wide = wide.union(wide.limit(1)).union(spark.createDataFrame([(None,) * len(wide.columns)], wide.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {r.doc_id: r.text for r in stage(spark, wide.select(*docs.columns), folder).collect()}
+        found = stage(spark, wide, folder)
+        assert found.columns == wide.columns, name
+        rows = found.collect()
+        assert {r.doc_id: r.text for r in rows} == plain, name
+        assert all([r[c] for c in others] == list(range(len(others))) for r in rows if r.doc_id is not None), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == wide.count()
+    dropped = line_dedup.drop_boilerplate(wide, F.col("source"))
+    assert sorted(dropped.columns) == sorted(wide.columns) and dropped.where("n_lines > 1").count() > 0
