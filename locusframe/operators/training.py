@@ -60,6 +60,7 @@ class Fit:
     parameters: DataFrame
     history: list[dict] = field(default_factory=list)
     best_epoch: int = -1
+    state: dict = field(default_factory=dict)
 
 
 def with_output(edges: DataFrame, covariates: int = 0) -> tuple[DataFrame, int]:

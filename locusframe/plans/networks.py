@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import network as n
+from locusframe.operators import subject_training as st
 from locusframe.operators import training as t
 from locusframe.operators.topology import topology_edges
 from locusframe.plans.registry import query, r6, sql6
@@ -162,21 +163,25 @@ def history(v: Views, fit: t.Fit) -> DataFrame:
     return v.spark.createDataFrame(rows, "epoch int, loss double, val_loss double, rate double")
 
 
+#: Fits stop once PATIENCE epochs have not lowered the validation loss by MIN_DELTA.
+PATIENCE, MIN_DELTA = 3, 0.005
+
+
 @query()
 def fit_topology_network(v: Views) -> DataFrame:
-    """Loss per epoch of a gene and pathway network with covariates."""
+    """Loss per epoch of a gene and pathway network with covariates, to its stopping rule."""
     train, validation = cohort_sets(v)
-    params = t.Params(learning_rate=0.05, epochs=3, l1=0.001, l1_activity=0.0)
-    fit = t.fit_topology_net(v.genotype, train, validation, topology_edges(v.small_topology), params, covariates=["cov_1", "cov_2"])
+    params = t.Params(learning_rate=0.05, patience=PATIENCE, min_delta=MIN_DELTA, l1=0.001, l1_activity=0.0)
+    fit = st.fit_by_subject(v.genotype, train, validation, topology_edges(v.small_topology), params, covariates=["cov_1", "cov_2"])
     return history(v, fit)
 
 
 @query()
 def fit_gene_network_l1(v: Views) -> DataFrame:
-    """Fitted weights of one gene layer."""
+    """Fitted weights of one gene layer, to its stopping rule."""
     train, validation = cohort_sets(v)
-    params = t.Params(learning_rate=0.05, epochs=2, normalise=False)
-    return t.fit_gene_l1(v.genotype, train, validation, topology_edges(v.small_topology), params).network.edges
+    params = t.Params(learning_rate=0.05, patience=PATIENCE, min_delta=MIN_DELTA, normalise=False)
+    return st.fit_by_subject(v.genotype, train, validation, topology_edges(v.small_topology).filter("layer = 0"), params).network.edges
 
 
 @query()

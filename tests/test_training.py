@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.operators import metrics, network
+from locusframe.operators import subject_training as st
 from locusframe.operators import training as t
 from test_operators import cells_of
 
@@ -112,3 +113,54 @@ def test_linear_baselines_follow_adam(spark, l1):
 def test_regression_loss(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.5)], "y double, p double")
     assert metrics.mse(df).first().loss == pytest.approx(0.625)
+
+
+@pytest.mark.parametrize("normalise,covariates", [(False, []), (True, ["cov_1"])])
+def test_passes_over_subjects_equal_tables(spark, normalise, covariates):
+    """One and two steps of both trainers give the same weights, losses and scores."""
+    geno, subjects, edges = problem(spark, n=24)
+    train, validation = subjects.filter("subject_id < 16"), subjects.filter("subject_id >= 16")
+    params = t.Params(learning_rate=0.03, epochs=2, l1=0.02, l1_activity=0.01, positive_weight=1.5, normalise=normalise)
+    one = t.fit_topology_net(geno, train, validation, edges, params, covariates)
+    two = st.fit_by_subject(geno, train, validation, edges, params, covariates)
+    for key in ("loss", "val_loss"):
+        assert [h[key] for h in two.history] == pytest.approx([h[key] for h in one.history], rel=1e-9)
+    weights = lambda f: {(r.layer, r.src, r.dst): r.w for r in f.parameters.collect()}
+    assert two.best_epoch == one.best_epoch and weights(two) == pytest.approx(weights(one), rel=1e-7, abs=1e-12)
+    scores = [{r.subject_id: r.p for r in network.predict(f.network, network.as_nodes(geno), validation).join(validation, "subject_id").collect()} for f in (one, two)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-7)
+
+
+def test_a_resumed_fit_goes_on_where_it_stopped(spark):
+    geno, subjects, edges = problem(spark)
+    params = lambda n: t.Params(learning_rate=0.05, epochs=n, l1=0.0, l1_activity=0.0, normalise=False)
+    whole = st.fit_by_subject(geno, subjects, subjects, edges, params(6))
+    part = st.fit_by_subject(geno, subjects, subjects, edges, params(4))
+    assert part.best_epoch == 3
+    again = st.fit_by_subject(geno, subjects, subjects, edges, params(2), resume=part)
+    assert [h["loss"] for h in again.history] == pytest.approx([h["loss"] for h in whole.history], rel=1e-9)
+    assert again.state == pytest.approx(whole.state)
+
+
+def test_a_separable_problem_is_learnt_until_it_stops_getting_better(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (200, 12))
+    x[:, 11] = 0  # never listed
+    y = (x[:, 0] + x[:, 1] - x[:, 5] > 1).astype(float)
+    cells = cells_of(spark, x).where("dosage <> 0")  # unlisted cells are 0
+    subjects = spark.createDataFrame([(s, float(y[s])) for s in range(200)], "subject_id long, label double")
+    edges = spark.createDataFrame([(0, s, s % 4) for s in range(12)] + [(1, s, s % 2) for s in range(4)], "layer int, src long, dst long")
+    params = t.Params(learning_rate=0.2, epochs=60, patience=3, min_delta=2e-2, l1=0.0, l1_activity=0.0)
+    train, validation = subjects.filter("subject_id < 140"), subjects.filter("subject_id >= 140")
+    fit = st.fit_by_subject(cells, train, validation, edges, params)
+    rows = st.subject_rows(cells, validation, [])
+    model, (w, _, _) = st.build(fit.parameters, fit.network.kinds, 0, True)
+    st.assign(model, w)
+    moments = {(r.layer, r.node): (r["mean"], r.variance) for r in fit.network.moments.collect()}
+    model.moments = [tuple(np.array([(m, (q + network.EPSILON) ** 0.5) for m, q in [moments[i, v] for v in layer.nodes]]).T) for i, layer in enumerate(model.layers[:-1])]
+    scored = []
+    for ids, inputs, covariates, label in st._blocks(model, rows.toArrow().to_batches()):
+        scored += zip(st._act(st.forward(model, inputs, covariates, model.depth)[1][-1][:, 0], "sigmoid"), label, strict=True)
+    positive, negative = [p for p, q in scored if q], [p for p, q in scored if not q]
+    assert len(scored) == 60 and np.mean([a > b for a in positive for b in negative]) > 0.95
+    assert len(fit.history) < 60
