@@ -24,8 +24,15 @@ def as_nodes(geno: DataFrame) -> DataFrame:
     return geno.select("subject_id", F.col("variant_id").cast("long").alias("node"), F.col("dosage").cast("double").alias("value"))
 
 
-def layer_forward(x: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
-    """out[dst] = sum over src of x[src] * w, plus b; per filter if the weights have one."""
+def layer_forward(x: DataFrame, weights: DataFrame, bias: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+    """out[dst] = sum over src of x[src] * w, plus b; per filter if the weights have one.
+
+    Without `subjects`, rows are the subjects and nodes with a listed input. With them, unlisted inputs are 0 and
+    every subject has a row in every node.
+    """
+    if subjects is not None:
+        rest = unlisted_forward(None, weights, bias)
+        return filled(listed_forward(x, None, weights, rest), rest, subjects)
     keys = ["dst", "filter"] if "filter" in weights.columns else ["dst"]
     summed = (
         x.join(weights.select(F.col("src").alias("node"), *keys, "w"), "node")
@@ -41,6 +48,46 @@ def layer_forward(x: DataFrame, weights: DataFrame, bias: DataFrame | None = Non
     )
 
 
+def unlisted_forward(rest: DataFrame | None, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
+    """(node, value) of a subject without any listed input: one row a node, whatever the number of subjects.
+
+    `rest` holds such a subject's values in the source nodes; nodes not in it are 0.
+    """
+    keys = ["node", "filter"] if "filter" in weights.columns else ["node"]
+    edges = weights.withColumnsRenamed({"dst": "node"})
+    if rest is None:
+        values = edges.select(*keys).distinct().withColumn("value", F.lit(0.0))
+    else:
+        sources = rest.select(F.col("node").alias("src"), F.col("value").alias("_rest"))
+        values = edges.join(sources, "src", "left").groupBy(*keys).agg(F.coalesce(F.sum(F.col("_rest") * F.col("w")), F.lit(0.0)).alias("value"))
+    if bias is None:
+        return values
+    return values.join(bias.select(*keys, "b"), keys, "left").select(*keys, (F.col("value") + F.coalesce("b", F.lit(0.0))).alias("value"))
+
+
+def listed_forward(x: DataFrame, rest: DataFrame | None, weights: DataFrame, rest_out: DataFrame) -> DataFrame:
+    """Values of the subjects and nodes with a listed input: `rest_out` plus what the listed inputs differ from `rest`."""
+    keys = ["node", "filter"] if "filter" in weights.columns else ["node"]
+    # The value that a source has unlisted goes with its edges, so cells meet weights in one join.
+    edges = weights.withColumnsRenamed({"dst": "node"}).select("src", *keys, "w")
+    if rest is None:
+        edges = edges.withColumn("_rest", F.lit(0.0))
+    else:
+        edges = edges.join(rest.select(F.col("node").alias("src"), F.col("value").alias("_rest")), "src", "left").fillna(0.0, ["_rest"])
+    moved = (
+        x.select("subject_id", F.col("node").alias("src"), F.col("value").alias("_x")).join(edges, "src")
+        .groupBy("subject_id", *keys).agg(F.coalesce(F.sum((F.col("_x") - F.col("_rest")) * F.col("w")), F.lit(0.0)).alias("_moved"))
+    )
+    return moved.join(rest_out, keys).select("subject_id", *keys, (F.col("value") + F.col("_moved")).alias("value"))
+
+
+def filled(listed: DataFrame, rest: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Every subject's value in every node: the listed one, else `rest`. The rows are as many as the answer's."""
+    keys = [c for c in rest.columns if c != "value"]
+    grid = subjects.select("subject_id").distinct().join(rest.withColumnRenamed("value", "_rest"))
+    return grid.join(listed, ["subject_id", *keys], "left").select("subject_id", *keys, F.coalesce("value", "_rest").alias("value"))
+
+
 def node_layer(x: DataFrame, weights: DataFrame) -> DataFrame:
     """Per-node weights over filters: value[node] = sum over filter of x[node, filter] * w[node, filter]."""
     return (
@@ -185,14 +232,33 @@ def next_input(net: Network, i: int, values: DataFrame, subjects: DataFrame | No
 
 
 def predict(net: Network, x: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
-    """Scores (subject_id, p) of input values (subject_id, node, value)."""
-    values = x
+    """Scores (subject_id, p) of input values (subject_id, node, value); unlisted inputs are 0.
+
+    Every subject of `subjects`, or else of `x`, has a score. Nodes that no listed input reaches hold one value
+    for all subjects, which goes through the layers once; only what differs from it is a row of a subject.
+    """
+    values, rest = x, None
+    everyone = subjects if subjects is not None else x
     for i, kind in enumerate(net.kinds):
         weights, bias = net.layer(i)
-        values = apply_activation(layer_forward(values, weights, bias), kind)
+        rest_out = unlisted_forward(rest, weights, bias)
+        values = apply_activation(listed_forward(values, rest, weights, rest_out), kind)
+        rest = apply_activation(rest_out, kind)
         if i < net.depth - 1:
             values = next_input(net, i, values, subjects)
-    return values.filter(F.col("node") == SCORE_NODE).select("subject_id", F.col("value").alias("p"))
+            if net.moments is not None:
+                rest = normalise(_with_covariates(rest, net, i), net.moments.filter(F.col("layer") == i).select("node", "mean", "variance"))
+    score = F.col("node") == SCORE_NODE
+    return filled(values.filter(score), rest.filter(score), everyone).select("subject_id", F.col("value").alias("p"))
+
+
+def _with_covariates(rest: DataFrame, net: Network, i: int) -> DataFrame:
+    """The covariates as nodes at 0, where the next layer reads them."""
+    if not net.covariates or i != net.depth - 2:
+        return rest
+    nodes = [F.lit(c).cast("long") for c in range(1, len(net.covariates) + 1)]
+    zeros = rest.sparkSession.range(1).select(F.explode(F.array(*nodes)).alias("node"), F.lit(0.0).alias("value"))
+    return rest.select("node", "value").unionByName(zeros)
 
 
 def activation_importance(acts: DataFrame, weights: DataFrame) -> DataFrame:

@@ -332,6 +332,19 @@ def test_predict_equals_matrix_product(spark):
     assert [rows[s] for s in range(20)] == pytest.approx(list(forward(x, matrices, offsets)))
 
 
+def test_predict_gives_unlisted_cells_their_zeros(spark):
+    """Also subjects, nodes and whole branches without a listed cell, with normalised layers."""
+    net, matrices, offsets = dense_network(spark)
+    x = np.random.default_rng(2).integers(0, 3, (20, 6)) * (np.random.default_rng(3).random((20, 6)) < 0.3)
+    x[4] = x[5] = 0
+    listed, everyone = cells_of(spark, x).where("dosage <> 0"), spark.range(20).toDF("subject_id")
+    rows = {r.subject_id: r.p for r in network.predict(net, network.as_nodes(listed), everyone).collect()}
+    assert [rows[s] for s in range(20)] == pytest.approx(list(forward(x, matrices, offsets)))
+    net.moments = net.edges.where("layer < 2").selectExpr("layer", "dst AS node", "0.1 * (dst + 1) AS mean", "0.5 + 0.25 * dst AS variance").distinct()
+    dense = {r.subject_id: r.p for r in network.predict(net, network.as_nodes(cells_of(spark, x))).collect()}
+    assert {r.subject_id: r.p for r in network.predict(net, network.as_nodes(listed), everyone).collect()} == pytest.approx(dense)
+
+
 # ---------------------------------------------------------------- interpretation
 
 
