@@ -4,6 +4,7 @@ from locusframe.plans import (  # noqa: F401
     alignment,
     associations,
     cohorts,
+    files,
     interpretation,
     networks,
     preparation,

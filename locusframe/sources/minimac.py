@@ -14,14 +14,14 @@ DOSE_LEADING = 2
 
 
 def _base(file: Column) -> Column:
-    """File name without extensions pairs a .dose with its .info."""
-    return F.regexp_replace(file, r"\.(dose|info)(\.gz)?$", "")
+    """File name without extensions pairs a .dose with its .info; either may be a folder of part files."""
+    return F.regexp_replace(file, r"\.(dose|info)(\.gz)?(/[^/]*)?$", "")
 
 
 def read_info(spark: SparkSession, folder: str) -> DataFrame:
     """(base, position, variant_id, allele1, allele2, maf, rsq); position counts within a file."""
     lines = read_lines(spark, f"{folder.rstrip('/')}/*.info*").withColumn("base", _base(F.col("file")))
-    numbered = number_rows(lines, ["block", "at"], "line", by=["base"])
+    numbered = number_rows(lines, ["file", "block", "at"], "line", by=["base"])
     part = F.split(F.trim("value"), r"\s+")
     c = INFO_COLUMNS
     return numbered.filter("line > 0").select(

@@ -70,10 +70,7 @@ class BedReader(DataSourceReader):
         self.row_bytes = -(-self.subjects // SAMPLES_PER_BYTE)
 
     def _open(self):
-        if "://" in self.path or self.path.startswith("file:"):
-            system, path = fs.FileSystem.from_uri(self.path)
-        else:
-            system, path = fs.LocalFileSystem(), self.path
+        system, path = fs.FileSystem.from_uri(self.path)
         return system.open_input_file(path)
 
     def partitions(self) -> list[InputPartition]:
@@ -117,7 +114,7 @@ class BedReader(DataSourceReader):
 
 
 class BedSource(DataSource):
-    """Options: path, subjects, variants, tile."""
+    """Options: path (with its scheme), subjects, variants, tile."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,6 +127,13 @@ class BedSource(DataSource):
         return BedReader(dict(self.options))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme and host that Spark's own readers take for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def read_bed(spark: SparkSession, prefix: str, tile: int = TILE) -> DataFrame:
     """Tiles (variant_id, tile, subject_ids, dosages) of a fileset, ids being file rows.
 
@@ -139,7 +143,7 @@ def read_bed(spark: SparkSession, prefix: str, tile: int = TILE) -> DataFrame:
     subjects = spark.read.text(f"{prefix}.fam").filter(F.length(F.trim("value")) > 0).count()
     variants = spark.read.text(f"{prefix}.bim").filter(F.length(F.trim("value")) > 0).count()
     tiles = (
-        spark.read.format("bed").option("path", f"{prefix}.bed").option("subjects", subjects)
+        spark.read.format("bed").option("path", qualified(spark, f"{prefix}.bed")).option("subjects", subjects)
         .option("variants", variants).option("tile", tile).load()
     )
     first = F.col("tile") * tile
