@@ -112,3 +112,59 @@ def test_samples_are_bounded_and_no_candidates(spark):
     assert all(len([r for r in samples if r.label == k]) <= 50 for k in (0, 1))
     assert all(8 <= len(r.value) <= 19 for r in samples if r.label == 0)
     assert sorted(samples) == sorted(secrets.samples_of(df.repartition(2), secrets.located(df), 50).collect())
+
+
+def test_copies_disclose_nothing_a_name_does(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    text = lambda: [rng.choice(vocabulary) for _ in range(60)]
+    rows = [text() for _ in range(600)]
+    # Independent documents of one person, and one document of another person in thirty edited copies.
+    for i in range(12):
+        rows[i][5], rows[i][50] = "Quillon", "quillon@home.example"
+    source = [*text(), "Varnish", "varnish@work.example"]
+    for _ in range(30):
+        edited = list(source)
+        for k in rng.sample(range(60), 3):
+            edited[k] = rng.choice(vocabulary)
+        rows.append(edited)
+    data = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame([*data, data[610], data[610], (9_000, None), (9_001, "")], "doc_id long, text string").repartition(6)
+    found = pii.located(df)
+    terms = [r.term for r in pii.disclosing(df, found).collect()]
+    assert terms == [spark.range(1).select(F.xxhash64(F.lit("quillon"))).first()[0]]
+    # All copies but one, and rows that repeat one of them, collapse.
+    assert 29 - 1 <= pii.copies(found).select("row").distinct().count() <= 29
+    marked = {r.doc_id: [(s.start, s.end, s.value) for s in r.added] for r in pii.find_personal(df).collect()}
+    for i in range(12):
+        at = data[i][1].index("Quillon")
+        assert (at, at + 7, "remove") in marked[i]
+    assert not any(marked[i] for i, _ in data[12:])
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    people = [f"p{k}@x.example" for k in range(6)]
+    docs = []
+    for i in range(500):
+        words = [f"term{int(rng.paretovariate(0.5)) % 400}" for _ in range(12)] + [f"own{i}x{j}" for j in range(40)]
+        if i % 9 == 0:
+            k = rng.randrange(6)
+            words += ["sent", people[k], "by"] + [f"name{k}"] * (rng.random() < 0.9) + [f"firm{k // 2}"]
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    n_t, n_e, n_te = Counter(), Counter(), Counter()
+    for _, text in docs:
+        entities = {w for w in text.split() if "@" in w}
+        terms = {w for w in text.split() if "@" not in w and len(w) > 2}
+        n_t.update(terms)
+        n_e.update(entities)
+        n_te.update((t, e) for t in terms for e in entities)
+    expected = {}
+    for (t, e), n in n_te.items():
+        low, information = n - pii.Z * math.sqrt(n), math.log(500 / n_e[e])
+        if low > 0 and math.log(500 * low / n_t[t] / n_e[e]) >= pii.ALPHA * information:
+            expected[t] = max(expected.get(t, 0.0), math.log(500 * n / n_t[t] / n_e[e]) / information)
+    names = spark.createDataFrame([(t,) for t in n_t], "t string").select("t", F.xxhash64("t").alias("term"))
+    got = {r.t: r.share for r in pii.disclosing(df, pii.located(df)).join(names, "term").collect()}
+    assert expected and got == pytest.approx(expected)
