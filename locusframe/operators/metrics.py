@@ -68,8 +68,9 @@ def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     totals = scores.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if by:
         return running.join(totals, by)
-    n_pos, n_neg = totals.first()
-    return running.withColumn("n_pos", F.lit(n_pos or 0)).withColumn("n_neg", F.lit(n_neg or 0))
+    # A plain number below 2^31 would become an int, whose products overflow.
+    n_pos, n_neg = (F.lit(n or 0).cast("long") for n in totals.first())
+    return running.withColumn("n_pos", n_pos).withColumn("n_neg", n_neg)
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve: the share of ordered pairs, ties counting half. Null for one class."""
     # Positives at a score beat the negatives strictly below it.
     beaten = F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2)
-    pairs = F.max("n_pos") * F.max("n_neg")
+    pairs = F.max("n_pos").cast("double") * F.max("n_neg")
     counts = score_counts(df, by)
     grouped = counts.groupBy(*by) if by else counts.groupBy()
     return grouped.agg(F.try_divide(F.sum(beaten), pairs).alias("auc"))

@@ -288,6 +288,21 @@ def test_auc_with_ties_per_group(spark):
     assert metrics.auc(frame(spark, pdf.assign(y=1))).first().auc is None
 
 
+@pytest.mark.parametrize("by", [[], ["run"]])
+def test_auc_of_more_pairs_than_an_int_holds(spark, by):
+    """Positives score 1, 3, .. 9, negatives 0, 2, .. 8, 50 000 of each."""
+    rows = spark.range(100_000).selectExpr("1 AS run", "int(id % 2) AS y", "double(id % 10) AS p")
+    assert metrics.auc(rows, by=by).first().auc == pytest.approx(0.6)
+
+
+def test_auc_of_more_pairs_than_a_long_holds(spark, monkeypatch):
+    schema = "p double, pos long, neg long, tp long, fp long, n_pos long, n_neg long"
+    n = 4_000_000_000
+    counts = spark.createDataFrame([(1.0, n, 0, n, 0, n, n), (0.0, 0, n, n, n, n, n)], schema)
+    monkeypatch.setattr(metrics, "score_counts", lambda df, by: counts)
+    assert metrics.auc(None).first().auc == pytest.approx(1.0)
+
+
 # ---------------------------------------------------------------- networks
 
 
