@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -31,3 +33,22 @@ def list_sums(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
 def to_lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     """Lists of the given lengths over flat values."""
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def pieces(rows: pa.RecordBatch, lists: str, cells: int) -> Iterator[pa.RecordBatch]:
+    """Slices of `rows` whose lists hold about `cells` values: fewer than twice as many, or one row."""
+    counts = combined(rows, lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(counts, dtype=np.int64) // cells
+    starts = np.append(0, np.flatnonzero(np.diff(part)) + 1)
+    for start, end in zip(starts, [*starts[1:], len(counts)], strict=True):
+        yield rows.slice(start, end - start)
+
+
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Positions where numbers differ from the row before, with the first position; nulls are equal."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        missing, value = np.asarray(column.is_null()), np.asarray(column.fill_null(0))
+        new[1:] |= (missing[1:] != missing[:-1]) | (value[1:] != value[:-1])
+    return np.flatnonzero(new)

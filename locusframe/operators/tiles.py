@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.arrays import combined, flat_lists, list_sums, to_lists
+from locusframe.functions.arrays import changes, combined, flat_lists, list_sums, pieces, to_lists
 from locusframe.operators.genotype import frequency_kept
 
 
@@ -91,7 +91,9 @@ def transpose(tiles: DataFrame, tile: int) -> DataFrame:
     """Variant-major tiles to subject-major ones: (subject_id, tile, variant_ids, dosages).
 
     The unit of exchange is a square of `tile` variants by `tile` subjects, turned inside
-    one task; cells never travel one by one.
+    one task; cells never travel one by one. A task gets its squares one after the other
+    and turns as many at once as hold the cells of a full one, so that a sparse matrix,
+    with few cells in each of many squares, costs by its cells.
     """
     subject, variant = (tiles.schema[c].dataType for c in ("subject_ids", "variant_id"))
     dosages = tiles.schema["dosages"].dataType.simpleString()
@@ -100,23 +102,44 @@ def transpose(tiles: DataFrame, tile: int) -> DataFrame:
         f"variant_ids array<{variant.simpleString()}>, dosages {dosages}"
     )
 
-    def turn(rows: pa.Table) -> pa.Table:
+    def squares(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return changes(combined(rows, "tile"), combined(rows, "_block"))
+
+    def turn(rows: pa.Table) -> pa.RecordBatch:
         lists, subjects = combined(rows, "dosages"), combined(rows, "subject_ids").flatten()
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(rows)), counts)
-        variants = combined(rows, "variant_id")
-        order = np.lexsort((variants.to_numpy()[row], subjects.to_numpy()))
-        names, sizes = np.unique(subjects.to_numpy(), return_counts=True)
-        picked = pa.array(order)
-        return pa.Table.from_arrays(
+        square = np.searchsorted(squares(rows), row, side="right")
+        # The variants of a square come in order, which these stable sorts keep.
+        order = np.lexsort((np.asarray(subjects.fill_null(0)), np.asarray(subjects.is_null()), square))
+        subjects, square = subjects.take(pa.array(order)), square[order]
+        starts = changes(pa.array(square), subjects)
+        sizes = np.diff(np.append(starts, len(order)))
+        picked = pa.array(row[order])
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(names, subjects.type),
-                pa.array(np.full(len(names), rows["_block"][0].as_py(), dtype=np.int64)),
-                to_lists(sizes, variants.take(pa.array(row)).take(picked)),
-                to_lists(sizes, lists.flatten().take(picked)),
+                subjects.take(pa.array(starts)),
+                combined(rows, "_block").take(pa.array(row[order][starts])),
+                to_lists(sizes, combined(rows, "variant_id").take(picked)),
+                to_lists(sizes, lists.flatten().take(pa.array(order))),
             ],
             names=["subject_id", "tile", "variant_ids", "dosages"],
         )
 
+    def turn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for piece in pieces(batch, "dosages", tile * tile):
+                rows = pa.Table.from_batches([*(held.to_batches() if held else []), piece])
+                # The last square may go on in the next piece.
+                last = int(squares(rows)[-1]) if len(rows) else 0
+                if last:
+                    yield turn(rows.slice(0, last))
+                held = rows.slice(last)
+        if held:
+            yield turn(held)
+
     blocks = tiles.withColumn("_block", F.floor(F.col("variant_id") / tile).cast("long"))
-    return blocks.groupBy("tile", "_block").applyInArrow(turn, schema)
+    keys = ["tile", "_block"]
+    sorted_squares = blocks.repartition(*keys).sortWithinPartitions(*keys, "variant_id")
+    return sorted_squares.mapInArrow(turn_all, schema)

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions.text import chromosome_code, clean_gene
-from locusframe.operators import association, interpret
-from locusframe.operators.genotype import to_subject_major
+from locusframe.operators import association, interpret, tiles
+from locusframe.operators.genotype import to_subject_major, to_variant_major
 from locusframe.sources import tables, vcf
 
 
@@ -82,3 +82,22 @@ def test_tiles_take_one_shuffle_and_the_largest_copy(spark):
     assert planned.count("Exchange hashpartitioning") == 1, planned
     found = {(r.subject_id, r.tile): (r.variant_ids, r.dosages) for r in tiles.collect()}
     assert found == {(1, 0): ([0, 1], [2.0, None]), (1, 1): ([5], [0.0]), (2, 0): ([3], [1.0])}
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_sparse_squares_are_turned_together(spark, batch):
+    """Many squares of few cells, some cut by a batch, missing calls and missing ids among them."""
+    cells = [(s, s * 7 % 11 + 40 * (s % 3), None if s % 5 == 0 else s % 3) for s in range(60)]
+    cells += [(s, v, 2) for s in range(4) for v in range(200, 208)] + [(None, 3, 1), (None, 201, 1), (5, None, 1), (9, None, None)]
+    geno = spark.createDataFrame(cells, "subject_id long, variant_id long, dosage int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        turned = tiles.transpose(to_variant_major(geno, 4), 4)
+        # One call for each square would cost by their number, which grows with the square of the sides.
+        assert "FlatMapGroupsInArrow" not in turned._jdf.queryExecution().toString()
+        found = [tuple(r) for r in turned.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = [tuple(r) for r in to_subject_major(geno, 4).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
