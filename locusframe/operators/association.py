@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.arrays import combined, flat_lists, to_lists
+from locusframe.functions.arrays import combined, flat_lists, pieces, to_lists
 from locusframe.functions.tails import p_value
 from locusframe.operators.genotype import frequency_kept, impute_mean
 from locusframe.operators.ordering import number_rows, seeded_order
@@ -521,6 +521,10 @@ def masked_cross(geno: DataFrame, traits: DataFrame, trait_names: Sequence[str])
 BROADCAST_BYTES = 128 << 20
 # Variants multiplied at once, which bounds the dense working matrix.
 ROWS_PER_PRODUCT = 512
+# A product by listed cells costs as many dense ones per cell, and a dense block as many rows more.
+CELLS_PER_LISTED, ROWS_PER_BLOCK = 32, 64
+# Cells multiplied at once by the listed cells.
+CELLS_PER_PRODUCT = 1 << 21
 # A matrix up to this size is spread over all cores first; a larger one has enough file splits.
 SPREAD_CELLS = 1 << 30
 # Variants whose sums over all subject tiles are added up and tested together.
@@ -548,7 +552,7 @@ def _packed(tiles: DataFrame, tile: int) -> DataFrame:
 class TileSums:
     """Sums per variant over the listed cells; gx and seen have one column per design column."""
 
-    variant: np.ndarray
+    variant: pa.Array
     called: np.ndarray
     cells: np.ndarray
     g: np.ndarray
@@ -564,12 +568,13 @@ class TileSums:
 
         flat = [pa.array(v.astype(float)) for v in (self.called, self.cells, self.g, self.gg)]
         names = ["variant_id", "called", "cells", "g", "gg", "gx", "seen"]
-        return pa.Table.from_arrays([pa.array(self.variant), *flat, lists(self.gx), lists(self.seen)], names=names)
+        return pa.Table.from_arrays([self.variant, *flat, lists(self.gx), lists(self.seen)], names=names)
 
     @staticmethod
     def added(rows: pa.Table) -> "TileSums":
         """Sums over the subject tiles of every variant."""
-        variant, at = np.unique(rows["variant_id"].to_numpy(), return_inverse=True)
+        variants = combined(rows, "variant_id").dictionary_encode(null_encoding="encode")
+        variant, at = variants.dictionary, np.asarray(variants.indices)
 
         def add(name: str) -> np.ndarray:
             column = combined(rows, name)
@@ -581,6 +586,44 @@ class TileSums:
         return TileSums(variant, *[add(c) for c in ("called", "cells", "g", "gg", "gx", "seen")])
 
 
+def _places(rows: pa.Table, counts: np.ndarray) -> np.ndarray:
+    """Place in its tile of every cell."""
+    places = combined(rows, "places")
+    start = np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(rows["first"].to_numpy(), counts) + np.arange(len(start)) - start
+    at[np.repeat(np.asarray(places.is_valid()), counts)] = np.asarray(places.flatten())
+    return at
+
+
+def _few_cells(rows: pa.Table, tile: int, blocks: int = 1) -> bool:
+    """Whether rows of `blocks` subject tiles cost less by their cells than as dense matrices."""
+    cells = len(combined(rows, "dosages").flatten())
+    return cells * CELLS_PER_LISTED < (len(rows) + ROWS_PER_BLOCK * (blocks - 1)) * tile
+
+
+def _listed_products(rows: pa.Table, x: np.ndarray, at: np.ndarray, known: np.ndarray, sparse: bool) -> TileSums:
+    """The sums of `_block_products` by the listed cells alone; `at` is the design row of a cell, if `known`."""
+    n = len(rows)
+    counts, value, valid = flat_lists(combined(rows, "dosages"))
+    row, at, value, valid = (v[known] for v in (np.repeat(np.arange(n), counts), at, value, valid))
+    marked = ~valid if sparse else valid
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=v, minlength=n)
+
+    def products(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]))
+        if v.any():
+            for j in range(x.shape[1]):
+                out[:, j] = total(v * x[at, j])
+        return out
+
+    cells = np.bincount(row, minlength=n)
+    return TileSums(
+        combined(rows, "variant_id"), total(valid), cells, total(value), total(value * value), products(value), products(marked)
+    )
+
+
 def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool) -> TileSums:
     """Sums of the variants of one subject tile, x being its design rows."""
     tile, n = len(x), len(rows)
@@ -593,11 +636,7 @@ def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse:
         dosage[:, columns], listed[:, columns] = value.reshape(shape), True
         called[:, columns] = valid.reshape(shape)
     else:
-        row = np.repeat(np.arange(n), counts)
-        start = np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(first, counts) + np.arange(len(row)) - start
-        scattered = np.repeat(np.asarray(places.is_valid()), counts)
-        at[scattered] = np.asarray(places.flatten())
+        row, at = np.repeat(np.arange(n), counts), _places(rows, counts)
         dosage[row, at], listed[row, at], called[row, at] = value, True, valid
     # Only the taken stretch of the tile takes part in the products.
     last = int(np.flatnonzero(present)[-1]) + 1
@@ -615,7 +654,7 @@ def _block_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse:
         seen = marked.astype(float) @ x
     squares = np.einsum("ij,ij->i", dosage, dosage)
     return TileSums(
-        rows["variant_id"].to_numpy(), called.sum(axis=1), listed.sum(axis=1), dosage.sum(axis=1), squares, dosage @ x, seen
+        combined(rows, "variant_id"), called.sum(axis=1), listed.sum(axis=1), dosage.sum(axis=1), squares, dosage @ x, seen
     )
 
 
@@ -664,7 +703,7 @@ class TileModel:
         row, column = np.nonzero(keep)
         numbers = [pa.array(v, from_pandas=True) for v in (af[row], beta[keep], se[keep], t[keep])]
         names = pa.array(self.traits, pa.string()).take(pa.array(column))
-        columns = [pa.array(sums.variant[row]), names, *numbers, pa.array(np.full(len(row), df))]
+        columns = [sums.variant.take(pa.array(row)), names, *numbers, pa.array(np.full(len(row), df))]
         return pa.Table.from_arrays(columns, names=["variant_id", "trait", "af", "beta", "se", "t_stat", "df"])
 
 
@@ -716,7 +755,12 @@ def _design_tile(ids: np.ndarray, values: np.ndarray, tile: int) -> tuple[np.nda
     return x, present
 
 
-def _slices(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool):
+def _tile_products(rows: pa.Table, x: np.ndarray, present: np.ndarray, sparse: bool):
+    """Sums of rows of one subject tile, x being its design rows."""
+    if _few_cells(rows, len(x)):
+        at = _places(rows, combined(rows, "dosages").value_lengths().to_numpy())
+        yield _listed_products(rows, x, at, present[at], sparse)
+        return
     for start in range(0, len(rows), ROWS_PER_PRODUCT):
         yield _block_products(rows.slice(start, ROWS_PER_PRODUCT), x, present, sparse)
 
@@ -740,37 +784,49 @@ def _tile_pass(packed: DataFrame, design: DataFrame, model: TileModel, tile: int
         def by_batch(batches):
             ids, values = shared.value
             for batch in batches:
-                rows = pa.Table.from_batches([batch])
-                tile_of = rows["tile"].to_numpy()
-                for t in np.unique(tile_of):
-                    low, high = np.searchsorted(ids, [t * tile, (t + 1) * tile])
-                    if low == high:
-                        continue
-                    x, present = _design_tile(ids[low:high], values[low:high], tile)
-                    for sums in _slices(rows.filter(pa.array(tile_of == t)), x, present, sparse):
+                for piece in pieces(batch, "dosages", CELLS_PER_PRODUCT):
+                    for sums in by_piece(pa.Table.from_batches([piece]), ids, values):
                         yield from finish(sums).to_batches()
 
+        def by_piece(rows, ids, values):
+            tile_of = rows["tile"].to_numpy()
+            blocks = np.unique(tile_of)
+            low, high = (np.searchsorted(ids, edge * tile) for edge in (blocks, blocks + 1))
+            taken = low < high  # not so for tiles without design rows and for a null subject
+            if not taken.all():
+                rows = rows.filter(pa.array(np.isin(tile_of, blocks[taken])))
+                tile_of, blocks, low, high = rows["tile"].to_numpy(), blocks[taken], low[taken], high[taken]
+            if len(rows) and _few_cells(rows, tile, len(blocks)):
+                counts = combined(rows, "dosages").value_lengths().to_numpy()
+                subject = np.repeat(tile_of, counts) * tile + _places(rows, counts)
+                at = np.searchsorted(ids, subject, side="right") - 1
+                yield _listed_products(rows, values, at, (at >= 0) & (ids[at] == subject), sparse)
+                return
+            for t, start, end in zip(blocks, low, high, strict=True):
+                x, present = _design_tile(ids[start:end], values[start:end], tile)
+                yield from _tile_products(rows.filter(pa.array(tile_of == t)), x, present, sparse)
+
         if n_variants * model.n <= SPREAD_CELLS:
             packed = packed.repartition(2 * design.sparkSession.sparkContext.defaultParallelism, "variant_id")
         parts = packed.mapInArrow(by_batch, schema)
     else:
         empty = (model.test if one_tile else TileSums.to_arrow)(
-            TileSums(np.zeros(0, int), *[np.zeros(0)] * 4, np.zeros((0, width)), np.zeros((0, width)))
+            TileSums(pa.array([], pa.int64()), *[np.zeros(0)] * 4, np.zeros((0, width)), np.zeros((0, width)))
         )
 
         def by_group(left: pa.Table, right: pa.Table) -> pa.Table:
             if len(left) == 0 or len(right) == 0:
                 return empty
             x, present = _design_tile(right["subject_id"].to_numpy(), _matrix(right) - means, tile)
-            return pa.concat_tables(finish(sums) for sums in _slices(left, x, present, sparse))
-
-        groups = max(1, -(-n_variants // per_group))
-        left = packed.withColumn("_group", F.pmod(F.xxhash64("variant_id"), F.lit(groups)).cast("int"))
-        right = design.select(
-            "subject_id",
-            "x",
-            F.floor(F.col("subject_id") / tile).cast("long").alias("tile"),
-            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
+            return pa.concat_tables(finish(sums) for sums in _tile_products(left, x, present, sparse))
+
+        # A subject tile has as many groups as its rows fill, so the copies of its design rows grow with those.
+        rows_of = packed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("_groups"))
+        rows_of = F.broadcast(materialise(rows_of))  # one short row for each tile of subjects
+        left = packed.join(rows_of, "tile").withColumn("_group", F.pmod(F.xxhash64("variant_id"), "_groups").cast("int"))
+        right = (
+            design.withColumn("tile", F.floor(F.col("subject_id") / tile).cast("long")).join(rows_of, "tile")
+            .select("subject_id", "x", "tile", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"))
         )
         parts = left.groupBy("tile", "_group").cogroup(right.groupBy("tile", "_group")).applyInArrow(by_group, schema)
     if one_tile:

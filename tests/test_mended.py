@@ -101,3 +101,45 @@ def test_sparse_squares_are_turned_together(spark, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     expected = [tuple(r) for r in to_subject_major(geno, 4).collect()]
     assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def _sparse_study(spark):
+    """400 variants listed once or twice in each of few tiles of 16 of 300 subjects, some missing or of no one."""
+    rng = np.random.default_rng(8)
+    cells = {(int(s), int(v)): None if rng.random() < 0.1 else int(rng.integers(1, 3)) for v in range(400) for s in rng.integers(0, 310, 12)}
+    rows = [(s, v, d) for (s, v), d in cells.items()] + [(s, None, 1) for s in range(0, 300, 30)] + [(None, 3, 2), (None, None, 2)]
+    geno = spark.createDataFrame(rows, "subject_id long, variant_id long, dosage int")
+    design = [(s, float(c), float(y)) for s, c, y in zip(range(300), rng.normal(5, 2, 300), rng.normal(9, 3, 300), strict=True)]
+    return geno, spark.createDataFrame(design, "subject_id long, c double, y double")
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_sparse_tiles_multiply_listed_cells_alone(spark, monkeypatch, limit):
+    """Dense blocks cost by variants times subjects; neither way of joining the design may make them here."""
+    geno, design = _sparse_study(spark)
+    monkeypatch.setattr(association, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(association, "CELLS_PER_LISTED", 4)  # the tiles are narrow
+    monkeypatch.setattr(association, "_block_products", None)
+    left = association.gwas(geno, design, ["c"], ["y"], sparse=True).toPandas()
+    right = association.gwas_tiles(to_variant_major(geno, 16), design, ["c"], ["y"], tile=16, sparse=True, variants_per_group=20).toPandas()
+    left, right = (d.sort_values("variant_id", na_position="last").reset_index(drop=True) for d in (left, right))
+    assert left["variant_id"].equals(right["variant_id"]) and right["variant_id"].isna().sum() == 1
+    names = ["af", "beta", "se", "t_stat", "df"]
+    assert np.allclose(left[names].astype(float), right[names].astype(float), equal_nan=True)
+
+
+def test_design_rows_are_copied_by_the_cells_of_their_tile(spark, monkeypatch):
+    geno, design = _sparse_study(spark)
+    monkeypatch.setattr(association, "BROADCAST_BYTES", 0)
+    handed = spark.sparkContext.accumulator(0)
+    products = association._design_tile
+
+    def counted(ids, values, tile):
+        handed.add(len(ids))
+        return products(ids, values, tile)
+
+    monkeypatch.setattr(association, "_design_tile", counted)
+    few = to_variant_major(geno.filter("subject_id < 32 or variant_id = 0"), 16)
+    association.gwas_tiles(few, design, ["c"], ["y"], tile=16, sparse=True, variants_per_group=20, n_variants=400).count()
+    rows = few.count()
+    assert 0 < handed.value <= 300 + 16 * (rows // 20 + 1)
