@@ -48,6 +48,8 @@ MIN_PAGES = 6
 DEPTH = 24
 #: (element, word) entries a task holds before it passes them on.
 HELD = 400_000
+#: Hashes of elements and styles a task keeps for the pages that follow; a style of many looks is not kept.
+KNOWN = 50_000
 #: Groups of copies (16 bytes each), and noise elements (9 bytes), that may travel to the tasks; more are joined by shuffle.
 COPIES, LOW = 2_000_000, 2_000_000
 
@@ -77,6 +79,7 @@ MAIN_TAGS = {"article", "main"}
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
@@ -167,7 +170,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         attributes = {}
         if rest and "=" in rest:
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
-        if rest and re.search(r"(?:^|\s)hidden(?:[\s=]|$)", rest):
+        if rest and "hidden" in rest and _HIDDEN.search(rest):
             attributes["hidden"] = ""
         if tag in RAW:
             flush()
@@ -217,17 +220,36 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _keyed(host: str, nodes: list[Node]) -> dict[int, tuple[int, int, int]]:
-    """Element key -> (parent's key, depth, style), and sets the keys of the nodes."""
+def _keyed(host: str, nodes: list[Node], known: dict) -> dict[int, tuple[int, int, int]]:
+    """Element key -> (parent's key, depth, style), and sets the keys of the nodes. `known` holds hashes for later pages."""
     found: dict[int, tuple[int, int, int]] = {}
+    if len(known) > KNOWN:
+        known.clear()
     for node in nodes:  # parents come first
+        parent = node.parent
         if node.key is None:
-            node.key = node.parent.key
+            node.key = parent.key
             continue
-        node.key = _hash(host, node.parent.key if node.parent else 0, node.look)
-        looks = [c.look for c in node.children]
-        style = _hash(*[a for a, b in zip(looks, [None, *looks], strict=False) if a != b])
-        found.setdefault(node.key, (node.parent.key if node.parent else 0, node.depth, style))
+        above = parent.key if parent else 0
+        place = (host, above, node.look)
+        key = known.get(place)
+        if key is None:
+            key = known[place] = _hash(*place)
+        node.key = key
+        if key in found:
+            continue
+        looks, last = [], None
+        for child in node.children:
+            if child.look != last:
+                last = child.look
+                looks.append(last)
+        looks = tuple(looks)
+        style = known.get(looks)
+        if style is None:
+            style = _hash(*looks)
+            if len(looks) <= 8:
+                known[looks] = style
+        found[key] = (above, node.depth, style)
     return found
 
 
@@ -244,42 +266,46 @@ def _spread(batches):
 
     A page counts by its weight, 1 / k for each of k copies.
     """
-    held: dict[int, tuple[int, int, dict, dict]] = {}
+    held: dict[int, tuple[int, int, dict, dict, dict]] = {}
+    known: dict = {}
     size = 0
 
     def out():
-        rows = ([], [], [], [], [], [], [])
-        for element, (above, depth, styles, words) in held.items():
+        heads, items, c, log = [], [], [], []
+        for element, (above, depth, styles, words, logs) in held.items():
             for styled, entries in ((True, styles), (False, words)):
-                n = len(entries)
-                items = list(entries) if styled else [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in entries]
-                own = ([element] * n, [above] * n, [depth] * n, [styled] * n, items, [e[0] for e in entries.values()], [e[1] for e in entries.values()])
-                for column, values in zip(rows, own, strict=True):
-                    column += values
+                heads.append((element, above, depth, styled, len(entries)))
+                c += entries.values()
+            items += styles
+            items += [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words]
+            log += [0.0] * len(styles)
+            log += [logs.get(w, 0.0) for w in words] if logs else [0.0] * len(words)
         held.clear()
-        for start in range(0, len(rows[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 100_000], f.type) for c, f in zip(rows, _spread_schema(), strict=True)], schema=_spread_schema())
+        *heads, sizes = zip(*heads, strict=True) if heads else ((), (), (), (), ())
+        row = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
+        for start in range(0, len(row), 100_000):
+            part = slice(start, start + 100_000)
+            of = pa.array(row[part])
+            columns = [pa.array(h, f.type).take(of) for h, f in zip(heads, list(_spread_schema())[:4], strict=True)]
+            columns += [pa.array(v[part], f.type) for v, f in zip((items, c, log), list(_spread_schema())[4:], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_spread_schema())
 
     for batch in slices(batches, 200):
         for host, weight, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             nodes, blocks = parse(page)
-            for element, (above, depth, style) in _keyed(host, nodes).items():
-                entry = held.setdefault(element, (above, depth, {}, {}))[2].setdefault(style, [0.0, 0.0])
-                entry[0] += weight
+            for element, (above, depth, style) in _keyed(host, nodes, known).items():
+                styles = held.setdefault(element, (above, depth, {}, {}, {}))[2]
+                styles[style] = styles.get(style, 0.0) + weight
             own: dict[int, list] = {}
             for node, text in blocks:
                 own.setdefault(node.key, []).extend(text.split())
             for element, found in own.items():
-                words = held[element][3]
+                _, _, _, words, logs = held[element]
                 size -= len(words)
                 for word, n in Counter(found).items():
-                    entry = words.get(word)
-                    if entry is None:
-                        words[word] = [weight * n, weight * n * math.log(n) if n > 1 else 0.0]
-                    else:
-                        entry[0] += weight * n
-                        if n > 1:
-                            entry[1] += weight * n * math.log(n)
+                    words[word] = words.get(word, 0.0) + weight * n
+                    if n > 1:
+                        logs[word] = logs.get(word, 0.0) + weight * n * math.log(n)
                 size += len(words)
             if size >= HELD:
                 yield from out()
@@ -351,17 +377,18 @@ FOUND = "page_id long, url string, text string, n_chars long, n_tree long, n_nam
 _FOUND = pa.schema([(n, pa.string() if n in ("url", "text") else pa.int64()) for n in ("page_id", "url", "text", "n_chars", "n_tree", "n_named")])
 
 
-def _blocks(batch: pa.RecordBatch):
+def _blocks(batch: pa.RecordBatch, known: dict):
     """page_id, url and the blocks of each page of a batch of _rows."""
     for page_id, url, host, page in zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True):
         nodes, blocks = parse(page)
-        _keyed(host, nodes)
+        _keyed(host, nodes, known)
         yield page_id, url, [(n.key if host else None, n.noise, n.main, t) for n, t in blocks]
 
 
 def _parsed(batches):
+    known: dict = {}
     for batch in slices(batches, 200):
-        rows = [(i, u, [dict(zip(("element", "named", "main", "text"), b, strict=True)) for b in blocks]) for i, u, blocks in _blocks(batch)]
+        rows = [(i, u, [dict(zip(("element", "named", "main", "text"), b, strict=True)) for b in blocks]) for i, u, blocks in _blocks(batch, known)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_PARSED)[1:], strict=True))], schema=_PARSED)
 
 
@@ -370,9 +397,10 @@ def _kept(noise: Broadcast):
 
     def run(batches):
         elements, deep = noise.value
+        hashes: dict = {}
         for batch in slices(batches, 200):
             rows = []
-            for page_id, url, blocks in _blocks(batch):
+            for page_id, url, blocks in _blocks(batch, hashes):
                 low = np.zeros(len(blocks), bool)
                 known = np.array([b[0] is not None for b in blocks], bool)
                 if len(elements) and known.any():

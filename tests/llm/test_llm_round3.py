@@ -233,3 +233,15 @@ def test_stages_keep_columns_of_any_name(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == wide.count()
     dropped = line_dedup.drop_boilerplate(wide, F.col("source"))
     assert sorted(dropped.columns) == sorted(wide.columns) and dropped.where("n_lines > 1").count() > 0
+
+
+def test_elements_seen_before_are_not_hashed_again(monkeypatch):
+    """Pages of a host share their elements; and a full cache changes no key."""
+    page = "<html><body><nav class='menu'><ul><li>a<li>b</ul></nav><article><h1>t</h1><p>one</p><p>two</p></article></body></html>"
+    known = {}
+    first = style_tree._keyed("h", style_tree.parse(page)[0], known)
+    monkeypatch.setattr(style_tree, "KNOWN", 0)
+    assert style_tree._keyed("h", style_tree.parse(page)[0], dict(known)) == first
+    monkeypatch.undo()
+    monkeypatch.setattr(style_tree, "_hash", None)
+    assert style_tree._keyed("h", style_tree.parse(page)[0], known) == first
